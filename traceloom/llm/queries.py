@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .classify import fold
 from .common import table
 from .decontaminate import decontaminated
+from .fingerprint import edited_fingerprints
 from .langid import languages
+from .mixing import mixture
 from .quality import quality_scores
 from .token_output import token_output
 from .toxicity import toxicity_scores
@@ -62,11 +64,49 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
+    "op3_fingerprint": op3_fingerprint,
+    "op5_mixing": op5_mixing,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
 }
-SQL: dict[str, str] = {}
+#: By brute force: the whole line of copies in one window.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    sha256('mix-1|' || doc_id) AS k FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS r FROM d GROUP BY source
+), w AS (
+  SELECT *, (CASE (r - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight, source_size::DOUBLE * 2.0::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, least(cap, coalesce((max(CASE WHEN level <= cap / weight THEN level END) OVER ()) * weight, cap)) AS target FROM l
+), p AS (
+  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS until
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, (until + e * source_size)::DOUBLE / target AS finish FROM p, (SELECT unnest([0, 1]) AS e) WHERE size > 0
+), q AS (
+  SELECT doc_id, source, size, (sum(size) OVER (ORDER BY finish, k, e, source ROWS UNBOUNDED PRECEDING))::DOUBLE
+    <= (SELECT sum(size)::DOUBLE * 1.5::DOUBLE FROM d) AS took FROM c
+), g AS (SELECT doc_id, source, size, count(*) FILTER (took) AS n FROM q GROUP BY doc_id, source, size)
+SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * coalesce(g.n, 0))::BIGINT AS taken
+FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.source IS NOT DISTINCT FROM g.source AND p.size = g.size
+"""
+
+SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
