@@ -13,6 +13,7 @@ from .decontaminate import decontaminated
 from .fingerprint import edited_fingerprints
 from .langid import languages
 from .mixing import mixture
+from .near_dup import near_duplicates
 from .quality import quality_scores
 from .token_output import token_output
 from .toxicity import toxicity_scores
@@ -72,6 +73,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op10_near_dup": op10_near_dup,
 }
 #: By brute force: the whole line of copies in one window.
 OP5_SQL = r"""

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .classify import isotonic, labelled_sample, scored, sigmoid
+from .common import slices
 
 #: Common insults to start from, words of the second person in four languages, characters that stand for letters.
 INSULTS = frozenset("idiot moron stupid dumb loser scum trash pathetic worthless disgusting ugly fool clown jerk hate kill".split())
@@ -192,3 +194,16 @@ def toxicity_scores(docs: DataFrame, training: DataFrame, label: str = "toxic")
     """
     model = fit(*labelled_sample(training, label))
     return scored(docs, lambda: scorer(model), "score double")
+
+
+def without_toxic(docs: DataFrame, training: DataFrame, cut: float, label: str = "toxic") -> DataFrame:
+    """The rows of docs, all columns, that score under cut; as toxicity_scores else. One pass, no shuffle."""
+    model = fit(*labelled_sample(training, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model)
+        for part in (x for batch in batches for x in slices(batch)):
+            got = score(part.column(part.schema.get_field_index("text")).to_pylist())["score"]
+            yield part.filter(pa.array(got < cut))
+
+    return docs.mapInArrow(run, docs.schema)
