@@ -15,6 +15,7 @@ from .langid import languages
 from .mixing import mixture
 from .near_dup import near_duplicates
 from .quality import quality_scores
+from .suffix_dedup import deduplicated
 from .token_output import token_output
 from .toxicity import toxicity_scores
 
@@ -77,6 +78,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dup": op10_near_dup,
 }
 #: By brute force: the whole line of copies in one window.
