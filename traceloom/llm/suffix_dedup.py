@@ -240,8 +240,8 @@ def _sorted_out(found: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, mark long, start long, n long")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of each row of docs, as UTF-8 bytes (null: empty).
+def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, kept (binary) of each row of docs, as UTF-8 bytes (null: empty).
 
     Rows of equal doc_id don't count as smaller than each other; null doc_ids count as greater than all. Texts under
     `length` bytes stay whole. An empty table gives no rows. Other columns are ignored. `length` is GRAM + 8 at least.
@@ -277,7 +277,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 else:
                     kept = raw
                 rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_kept)
+            made = [pa.array(list(x), t) for x, t in zip(list(zip(*rows, strict=True))[: len(kinds)], kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept])
 
     whole = base.join(spans, ["doc", "mark"], "left").select(F.when(~F.col("nameless"), F.col("doc")).alias("doc_id"), "text", "spans")
-    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
