@@ -4,7 +4,8 @@ A document has two small collections of SLOTS band hashes, each of ROWS minhashe
 either collection, so SLOTS**2 tables cost 2 * SLOTS * ROWS minhashes. Documents of equal sets are one class from the
 start. Within a bucket classes are not paired off: all are compared with one centre, the components so far are found, and
 only buckets that still hold several components are looked at again - with another centre, and at last between the
-components, so that no candidate pair that could join two components goes unexamined.
+components: small buckets pair by pair, large ones in blocks whose intersections are matrix products and which return
+only links that join components. No candidate pair that could join two components goes unexamined.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SLOTS, ROWS = 12, 3
 ROUNDS = 2
 #: Links of one centre that one task confirms.
 GROUP = 512
+#: Buckets of more members are compared in blocks of about BLOCK members rather than pair by pair, COLUMNS shingles at a time.
+SMALL, BLOCK, COLUMNS = 16, 256, 4096
 IS_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 FACTORS = mix64(np.arange(7_001, 7_001 + 2 * SLOTS * ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -100,6 +103,82 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "c long, members binary").dropDuplicates(["c"])
 
 
+def _one_key_each(held: DataFrame) -> DataFrame:
+    """held (key, c, n, label, size) with one key for each distinct set of members: a group of near copies shares many keys."""
+    h = F.xxhash64("c")
+    sums = held.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
+    chosen = sums.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    return held.join(chosen.select("key", "size"), "key")
+
+
+def block_links(sets: list[np.ndarray], labels: list[int], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places) between members of left and of right, no more than are needed to join the labels that they join.
+
+    Intersections come from a product of 0/1 matrices over the shingles that several members have.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, member = values[order], member[order]
+    column = np.cumsum(np.append(0, values[1:] != values[:-1]))
+    often = np.bincount(column)[column] > 1
+    column, member = np.unique(column[often], return_inverse=True)[1], member[often]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        some = np.zeros((len(sets), COLUMNS), np.float32)
+        some[member[a:b], column[a:b] - low] = 1
+        both += some[left] @ some[right].T
+    total = sizes[left][:, None] + sizes[right][None, :] - both
+    number = np.unique(labels, return_inverse=True)[1]
+    hits = np.argwhere((100 * both >= percent * total) & (number[left][:, None] != number[right][None, :]))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for i, j in hits.tolist():
+        x, y = root(int(number[left[i]])), root(int(number[right[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def _linked_in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across the labels of each large bucket. A member goes to each pair of blocks that has its own."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    mine = F.pmod(F.xxhash64(F.lit(7), "c"), blocks)
+    both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    rows = held.select("key", "c", "label", mine.alias("mine"), F.explode(both).alias("at")).select("key", "at.i", "at.j", "mine", "c", "label").join(sets, "c")
+    rows = rows.select("key", "i", "j", "mine", "c", "label", "members").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held_ = None, []
+
+        def done() -> pa.RecordBatch:
+            side = np.array([x[0] for x in held_])
+            left, right = (np.flatnonzero(side == now[1]), np.flatnonzero(side == now[2]))
+            found = block_links([x[3] for x in held_], [x[2] for x in held_], left, right, percent) if len(left) and len(right) else []
+            return pa.RecordBatch.from_arrays([pa.array([held_[k[e]][1] for k in found], pa.int64()) for e in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for key, i, j, side, c, label, members in zip(*columns, batch.column(6), strict=True):
+                if now != (key, i, j) and held_:
+                    yield done()
+                    held_ = []
+                now = (key, i, j)
+                held_.append((side, c, label, np.frombuffer(members.as_buffer(), np.uint64).copy()))
+        if held_:
+            yield done()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes those whose sets have a similarity of percent / 100 at least.
 
@@ -183,13 +262,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             centres = held.groupBy("key").agg(centre.alias("x")).select("key", F.col("x.c").alias("a"), F.col("x.n").alias("m"), F.col("x.label").alias("other"))
             pairs = held.join(centres, "key").where(F.col("label") != F.col("other"))
         else:
-            other = held.select("key", F.col("c").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = held.join(other, "key").where(F.col("label") < F.col("other"))
+            held = written(_one_key_each(held), "nd-rest")
+            few = held.where(F.col("size") <= SMALL)
+            other = few.select("key", F.col("c").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))
+            pairs = few.join(other, "key").where(F.col("label") < F.col("other"))
         pairs = pairs.where(_close(percent)).select("a", F.col("c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = written(pairs, "nd-pairs")
-        found = written(_confirmed(pairs, sets, percent), "nd-links")
+        found = _confirmed(pairs, sets, percent)
+        if turn == ROUNDS:
+            found = found.unionByName(_linked_in_blocks(held.where(F.col("size") > SMALL), sets, percent))
+        found = written(found, "nd-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         label = components(links)
