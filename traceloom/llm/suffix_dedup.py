@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, slices
+from .common import SLICE_BYTES, mix64, prefix_hash, slices
 from .induced import suffix_order
 
 LENGTH, GRAM = 50, 16
@@ -137,7 +137,7 @@ def _pieces_to_sort(docs: DataFrame, shards: int, length: int) -> DataFrame:
     """Pieces with shared hashes by shard; of equal ones in a slice the least document's goes on, the others are found already (data null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch)):
+        for part in (x for batch in batches for x in slices(batch, most=2 * SLICE_BYTES)):
             data, starts = _joined(part.column(2).to_pylist())
             key, at, count, owner = pieces(data, starts, length)
             if not len(key):
@@ -171,7 +171,7 @@ def _pieces_to_sort(docs: DataFrame, shards: int, length: int) -> DataFrame:
                 for some, body in ((go, True), (rest, False)):
                     if len(some):
                         text = b"".join(data[x : x + n + length - 1].tobytes() for x, n in zip(at[some].tolist(), count[some].tolist(), strict=True)) if body else None
-                        rows.append((int(shard[a]), doc[some].tobytes(), marks[owner[some]].tobytes(), (at[some] - begin[some]).tobytes(), count[some].tobytes(), text))
+                        rows.append((int(shard[a]), doc[some].tobytes(), marks[owner[some]].tobytes(), (at[some] - begin[some]).astype(np.int32).tobytes(), count[some].astype(np.int32).tobytes(), text))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], ["shard", "docs", "marks", "starts", "counts", "data"])
 
     return docs.mapInArrow(run, FOUND)
@@ -216,25 +216,44 @@ def _sorted_out(found: DataFrame, length: int) -> DataFrame:
     """(doc, mark, start, n): stretches of starts whose strings are to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "mark", "start", "n"]
+        names, kinds = ["doc", "mark", "start", "n"], (np.int64, np.int64, np.int32, np.int32)
+
+        def spans(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names)
+
         for _, rows in _grouped(batches):
             sent = [r for r in rows if r[4].is_valid]
-            for docs, marks, starts, counts, data in rows:
-                if not data.is_valid:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (docs, marks, starts, counts)], names)
+            for row in rows:
+                if not row[4].is_valid:
+                    yield spans(*(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, kinds, strict=False)))
             if not sent:
                 continue
-            docs, marks, starts, counts = (np.concatenate([np.frombuffer(r[i].as_buffer(), np.int64) for r in sent]) for i in range(4))
+            docs, marks, starts, counts = (np.concatenate([np.frombuffer(r[i].as_buffer(), kinds[i]) for r in sent]) for i in range(4))
+            counts = counts.astype(np.int64)
+            data = np.concatenate([np.frombuffer(r[4].as_buffer(), np.uint8) for r in sent])
             if len(np.unique(docs)) < 2:
                 continue
-            gone = repeated(docs, counts, np.concatenate([np.frombuffer(r[4].as_buffer(), np.uint8) for r in sent]), length)
+            # equal pieces of several slices: only the least document's is sorted
+            ends = np.cumsum(counts + length - 1)
+            begin = ends - counts - length + 1
+            total, down = prefix_hash(data)
+            whole = mix64((total[ends] - total[begin]) * down[begin] + counts.astype(np.uint64))
+            order = np.lexsort((docs, whole))
+            head = np.append(True, np.diff(whole[order]) != 0)
+            first = docs[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
+            again = np.zeros(len(docs), bool)
+            again[order] = docs[order] > first
+            yield spans(docs[again], marks[again], starts[again], counts[again])
+            data = data[np.repeat(~again, counts + length - 1)]
+            docs, marks, starts, counts = docs[~again], marks[~again], starts[~again], counts[~again]
+            gone = repeated(docs, counts, data, length)
             piece = np.repeat(np.arange(len(counts)), counts)
             place = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
             hit = np.flatnonzero(gone)
             if len(hit):
                 edge = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(piece[hit]) != 0)))
                 first = hit[edge]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[piece[first]], marks[piece[first]], starts[piece[first]] + place[first], np.diff(np.append(edge, len(hit))))], names)
+                yield spans(docs[piece[first]], marks[piece[first]], starts[piece[first]] + place[first], np.diff(np.append(edge, len(hit))))
 
     dealt = found.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "doc long, mark long, start long, n long")
@@ -255,7 +274,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True)
     shards = min(shards, max(1, bytes_ // (1 << 14)))
     keyed = base.select("doc", "mark", "text")
     shared = _shared(_hashes(keyed, int(ranges), length)).groupBy("doc", "mark").agg(F.collect_list("keys").alias("keys"))
-    some = keyed.join(shared, ["doc", "mark"])
+    some = base.join(shared, ["doc", "mark"]).select("doc", "mark", "text", "keys", "nameless")  # all of base: the last join reuses its shuffle
     gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length)
     spans = gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
