@@ -60,6 +60,18 @@ def pieces(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     return value[edge], at[edge], np.diff(np.append(edge, len(at))), owner[edge]
 
 
+def _narrow(keys: np.ndarray) -> bytes:
+    """HASH_BITS of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, HASH_BITS // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : HASH_BITS // 8] = raw
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _hashes(docs: DataFrame, ranges: int, length: int) -> DataFrame:
     """(range, owners, keys) blobs: of each slice and range the hashes of each document, and whose they are."""
 
@@ -78,7 +90,7 @@ def _hashes(docs: DataFrame, ranges: int, length: int) -> DataFrame:
             ids, marks = part.column(0).to_pylist(), part.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([
                 pa.array([r for r, _, _ in rows], pa.int32()), pa.array([ids] * len(rows), pa.list_(pa.int64())), pa.array([marks] * len(rows), pa.list_(pa.int64())),
-                pa.array([owner[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([key[a:b].tobytes() for _, a, b in rows], pa.binary()),
+                pa.array([owner[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([_narrow(key[a:b]) for _, a, b in rows], pa.binary()),
             ], ["range", "ids", "marks", "owners", "keys"])
 
     return docs.mapInArrow(run, "range int, ids array<long>, marks array<long>, owners binary, keys binary")
@@ -110,7 +122,7 @@ def _shared(hashes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            keys = [np.frombuffer(k.as_buffer(), np.uint64) for _, _, _, k in rows]
+            keys = [_wide(k.as_buffer()) for _, _, _, k in rows]
             every = np.sort(np.concatenate(keys))
             shared = np.unique(every[1:][every[1:] == every[:-1]])
             for (ids, marks, owners, _), key in zip(rows, keys, strict=True):
