@@ -16,6 +16,8 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 #: Bits of a bin that are stored: two hex digits.
 KEPT_BITS = 8
+#: Bins that an empty one tries by hash before all that are left are ranked.
+PROBES = 16
 #: Cells of doc_id that rows are counted by before they are dealt into buckets, and a bucket's characters.
 CELLS = 1 << 14
 BUCKET_CHARS = 4 << 20
@@ -31,13 +33,17 @@ def _bin(h: Column) -> Column:
     return (F.shiftright(h, 64 - BIN_BITS) + BINS // 2).cast("int")
 
 
+def _bins() -> Column:
+    return F.sequence(F.lit(0), F.lit(BINS - 1))
+
+
 def with_bins(df: DataFrame, text: str, into: str, size: int = SHINGLE) -> DataFrame:
     """Adds `into`: for each bin its low bits (array<int>), or an empty array for a text without words.
 
     A text of fewer words than a shingle has them all as one. Each column below is a step of its own, so that Catalyst
     computes it once.
     """
-    h, first, held = f"_{into}_h", f"_{into}_first", f"_{into}_held"
+    h, first, held, dense = (f"_{into}_{x}" for x in ("h", "first", "held", "dense"))
     df = df.withColumn(h, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
     run = lambda i: F.xxhash64(*(F.get(F.col(h), i + k) for k in range(size)))
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - size, F.lit(0))), run)
@@ -45,13 +51,16 @@ def with_bins(df: DataFrame, text: str, into: str, size: int = SHINGLE) -> DataF
     # of sorted hashes the first of each bin is its least
     df = df.withColumn(first, F.filter(h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(h), i - 1))))).drop(h)
     df = df.withColumn(held, F.transform(first, _bin))
-    # the first bin that isn't empty in bin i's own order of them all: least hash of (i, j); its place in the low bits
+    df = df.withColumn(dense, F.transform(_bins(), lambda i: F.get(F.col(first), (F.array_position(F.col(held), i) - 1).cast("int"))))
+    # bin i's own order of the bins: PROBES of them by hashes of (i, k), then the rest by the least hash of (i, j), its place
+    # in the low bits
     mask = ~(BINS - 1)
-    nearest = lambda i: F.array_min(F.transform(held, lambda j, k: F.xxhash64(i, j).bitwiseAND(F.lit(mask)).bitwiseOR(k)))
-    place = lambda i: F.when(F.array_contains(F.col(held), i), F.array_position(F.col(held), i) - 1).otherwise(nearest(i).bitwiseAND(F.lit(BINS - 1)))
-    filled = F.when(F.size(first) == BINS, F.col(first)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(F.col(first), place(i).cast("int"))))
+    nearest = lambda i: F.array_min(F.transform(held, lambda j, k: F.xxhash64(i, j).bitwiseAND(F.lit(mask)).bitwiseOR(k))).bitwiseAND(F.lit(BINS - 1))
+    probe = lambda i, k: F.get(F.col(dense), F.xxhash64(i, F.lit(k)).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+    fill = lambda i: F.coalesce(F.get(F.col(dense), i), *(probe(i, k) for k in range(PROBES)), F.get(F.col(first), nearest(i).cast("int")))
+    filled = F.when(F.size(first) == BINS, F.col(first)).otherwise(F.transform(_bins(), fill))
     low = F.transform(filled, lambda v: v.bitwiseAND(F.lit((1 << KEPT_BITS) - 1)).cast("int"))
-    return df.withColumn(into, F.when(F.size(first) > 0, low).otherwise(F.array().cast("array<int>"))).drop(first, held)
+    return df.withColumn(into, F.when(F.size(first) > 0, low).otherwise(F.array().cast("array<int>"))).drop(first, held, dense)
 
 
 def packed(bins: Column) -> Column:
