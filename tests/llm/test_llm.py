@@ -237,3 +237,34 @@ def test_pipeline_stages(spark):
     assert mixed.count() == mixing.mixture(clean).agg({"copies": "sum"}).first()[0]
     out = stages["tokens"](spark, mixed, sf)
     assert out.count() == mixed.count()
+
+
+def lines_kept(rows):
+    """Brute force of line dedup: rows (doc_id, text) of distinct doc_ids."""
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0))
+    known, out = set(), {}
+    for doc_id, x in order:
+        split, gone = x.split("\n"), set()
+        for p in range(len(split) - 2):
+            window = tuple(split[p : p + 3])
+            if re.search(r"[^\x20\x09-\x0D]", "".join(window)):
+                gone |= set(range(p, p + 3)) if window in known else set()
+                known.add(window)
+        spans = sum(p - 1 not in gone for p in gone)
+        out[doc_id] = (len(split), len(gone), spans, "\n".join(w for p, w in enumerate(split) if p not in gone))
+    return out
+
+
+def test_line_dedup(docs, monkeypatch):
+    from traceloom.llm import line_dedup
+
+    rng = random.Random(8)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "", " ", "c d"]) for _ in range(rng.randrange(12)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "\n\n\n\n"), (203, "\n".join(str(k) for k in range(30_000))), (204, "x\n" * 20_000), (None, "x\nx\nx"), (205, "a\r\nb\r\nc\r\n"), (206, "a\r\nb\r\nc")]
+    monkeypatch.setattr(line_dedup, "LEAST", 7)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_spans"], r["kept_text"]) for r in line_dedup.line_deduplicated(docs(rows)).collect()}
+    assert got.pop(200) == (0, 0, 0, None)
+    assert got == lines_kept(rows)
+    same = line_dedup.line_deduplicated(docs([(5, "a\nb\nc"), (5, "a\nb\nc"), (6, "z\na\nb\nc")])).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in same) == [(5, 0, "a\nb\nc"), (5, 0, "a\nb\nc"), (6, 3, "z")]
+    assert line_dedup.line_deduplicated(docs([])).count() == 0

@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import decontaminated
 from .fingerprint import edited_fingerprints
 from .langid import languages
+from .line_dedup import line_deduplicated
 from .mixing import mixture
 from .near_dup import near_duplicates
 from .quality import quality_scores
@@ -74,6 +75,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_deduplicated(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
     "op3_fingerprint": op3_fingerprint,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
@@ -121,4 +128,28 @@ SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * coalesce(g.n, 0))::B
 FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.source IS NOT DISTINCT FROM g.source AND p.size = g.size
 """
 
-SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+#: Windows compared as text. Rows of one doc_id are taken to be one row here.
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents
+), w AS (
+  SELECT doc_id, p, line, lead(line) OVER o AS line2, lead(line, 2) OVER o AS line3 FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), r AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, p) > 1 AS again FROM w
+  WHERE line3 IS NOT NULL AND regexp_matches(line || line2 || line3, '[^\x20\x09-\x0D]')
+), c AS (
+  SELECT DISTINCT doc_id, p + k AS p FROM r, (SELECT unnest([0, 1, 2]) AS k) WHERE again
+), m AS (
+  SELECT l.doc_id, l.p, l.line, c.p IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.p = c.p
+), s AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS begins FROM m
+), g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
