@@ -3,9 +3,8 @@
 A document has two small collections of SLOTS band hashes, each of ROWS minhashes. A table key is a pair of one from
 either collection, so SLOTS**2 tables cost 2 * SLOTS * ROWS minhashes. Documents of equal sets are one class from the
 start. Within a bucket classes are not paired off: all are compared with one centre, the components so far are found, and
-only buckets that still hold several components are looked at again - with another centre, and at last between the
-components: small buckets pair by pair, large ones in blocks whose intersections are matrix products and which return
-only links that join components. No candidate pair that could join two components goes unexamined.
+only buckets that still hold several components are looked at again, between the components: small ones pair by pair,
+large ones in blocks whose intersections are matrix products and which return only links that join components. No candidate pair that could join two components goes unexamined.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from .common import joined_bytes, mix64, slices, span_hashes, word_spans, writte
 
 SLOTS, ROWS = 12, 3
 #: Rounds of centres before what is left is compared between components.
-ROUNDS = 2
+ROUNDS = 1
 #: Links of one centre that one task confirms.
 GROUP = 512
 #: Buckets of more members are compared in blocks of about BLOCK members rather than pair by pair, COLUMNS shingles at a time.
@@ -103,12 +102,15 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "c long, members binary").dropDuplicates(["c"])
 
 
-def _one_key_each(held: DataFrame) -> DataFrame:
-    """held (key, c, n, label, size) with one key for each distinct set of members: a group of near copies shares many keys."""
+def _buckets(keys: DataFrame) -> DataFrame:
+    """Of keys (c, n, key) the buckets of several members, with their size, one key for each distinct set of members.
+
+    A group of near copies shares many keys; one of them shows all that the others would.
+    """
     h = F.xxhash64("c")
-    sums = held.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
-    chosen = sums.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
-    return held.join(chosen.select("key", "size"), "key")
+    sums = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
+    chosen = sums.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    return keys.join(chosen.select("key", "size"), "key")
 
 
 def block_links(sets: list[np.ndarray], labels: list[int], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -242,8 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     live = bands.join(shared, ["slot", "h"]).groupBy("c", "n").agg(F.collect_list(F.struct("slot", "h")).alias("held"))  # 2 * SLOTS at most
     pair = F.transform(F.filter("held", lambda x: x["slot"] < SLOTS), lambda x: F.transform(F.filter("held", lambda y: y["slot"] >= SLOTS), lambda y: F.xxhash64(x["slot"], x["h"], y["slot"], y["h"])))
     keys = live.select("c", "n", F.explode(F.flatten(pair)).alias("key"))
-    crowd = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    buckets = written(keys.join(crowd.select("key"), "key"), "nd-buckets")
+    buckets = written(_buckets(keys), "nd-buckets")
     candidates = classes.join(buckets.select(F.col("c").alias("c1")).distinct(), "c1", "left_semi")
     sets = written(_sets(docs, candidates, size), "nd-sets", "none")
     links = tried = label = None
@@ -262,7 +263,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             centres = held.groupBy("key").agg(centre.alias("x")).select("key", F.col("x.c").alias("a"), F.col("x.n").alias("m"), F.col("x.label").alias("other"))
             pairs = held.join(centres, "key").where(F.col("label") != F.col("other"))
         else:
-            held = written(_one_key_each(held), "nd-rest")
             few = held.where(F.col("size") <= SMALL)
             other = few.select("key", F.col("c").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))
             pairs = few.join(other, "key").where(F.col("label") < F.col("other"))
