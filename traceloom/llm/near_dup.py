@@ -151,10 +151,15 @@ def block_links(sets: list[np.ndarray], labels: list[int], left: np.ndarray, rig
 
 
 def _linked_in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across the labels of each large bucket. A member goes to each pair of blocks that has its own."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    mine = F.pmod(F.xxhash64(F.lit(7), "c"), blocks)
-    both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    """Links (a, b) across the labels of each large bucket. A member goes to each pair of blocks that has its own.
+
+    Members of a bucket's largest component fill blocks of their own, which aren't compared with each other.
+    """
+    minor, major = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("most") / BLOCK)
+    spread = F.xxhash64(F.lit(7), "c")
+    mine = F.when(F.col("label") == F.col("main"), minor + F.pmod(spread, major)).otherwise(F.pmod(spread, minor))
+    last = F.when(F.col("label") == F.col("main"), minor - 1).otherwise(minor + major - 1)
+    both = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
     rows = held.select("key", "c", "label", mine.alias("mine"), F.explode(both).alias("at")).select("key", "at.i", "at.j", "mine", "c", "label").join(sets, "c")
     rows = rows.select("key", "i", "j", "mine", "c", "label", "members").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -252,8 +257,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         held = buckets
         if label is not None:  # only buckets of several components
             held = buckets.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-            mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            held = written(held.join(mixed.select("key"), "key"), "nd-mixed")
+            parts = held.groupBy("key", "label").agg(F.count("*").alias("most"))
+            mixed = parts.groupBy("key").agg(F.max(F.struct("most", "label")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
+            held = written(held.join(mixed.select("key", "x.most", F.col("x.label").alias("main")), "key"), "nd-mixed")
             if held.isEmpty():
                 break
         else:
