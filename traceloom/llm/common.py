@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: The folder of the tables that one run of an operator needs for itself alone.
+_parts: ContextVar[str | None] = ContextVar("parts", default=None)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_parts.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written to the shared folder; the tables written on the way are removed once it is there."""
+    parts = f"{shared_dir(spark)}/{name}-parts-{uuid.uuid4().hex}"
+    token = _parts.set(parts)
+    try:
+        try:
+            out = make()
+        finally:
+            _parts.reset(token)
+        return written(out, name)
+    finally:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(parts)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about `most` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0)

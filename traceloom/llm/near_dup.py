@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, mix64, slices, span_hashes, word_spans, written
+from .common import joined_bytes, mix64, only_result, slices, span_hashes, word_spans, written
 
 SLOTS, ROWS = 12, 3
 #: Rounds of centres before what is left is compared between components.
@@ -240,6 +240,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Null and empty texts have no shingles and link with nothing; so do rows of null doc_id, which are kept. Rows of equal
     doc_id are documents of their own that share the id. An empty table gives no rows. Other columns are ignored.
     """
+    return only_result(docs.sparkSession, "near-dup", lambda: _near_duplicates(docs, size, percent))
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     signed = written(_signatures(docs, size), "nd-signatures")
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-classes")
