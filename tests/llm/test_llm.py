@@ -47,6 +47,13 @@ def test_memoised_encoder_equals_the_tokenizer():
         assert list(encoder.encode(t)) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_letters_that_normalise_to_marks():
+    encoder = token_output.WordEncoder(tokenizer_path())
+    same = lambda t: list(encoder.encode(t)) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert same("VERGİSİ. VERGİSİ \u0958. \u0958 \ufb1d. İ! word. word")
+    assert [hex(c) for c in range(0x30000) if chr(c).isalpha() and not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or 0x20000 <= c) and not same(f"a{chr(c)}. {chr(c)}b) a{chr(c)}")] == []
+
+
 def test_token_output(docs):
     rows = sorted(token_output.token_output(docs(ODD), tokenizer_path(), 2).collect(), key=lambda r: r["start"])
     at = 0

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -129,7 +130,8 @@ class WordEncoder:
 
     Chunks are what space, tab, newline and carriage return part. What is new is taken apart into letters and one closing
     mark, as the pre-tokeniser does it, and new words of letters go to the tokenizer together; there each ends with a token
-    that ends a word, or else each goes alone. The memo has two generations of bounded size, of which the older is dropped.
+    that ends a word, or else each goes alone. Letters that the normaliser turns into a letter and a combining mark are none
+    here: the pre-tokeniser cuts before the mark and joins it with what follows. The memo has two generations of bounded size, of which the older is dropped.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
@@ -164,7 +166,7 @@ class WordEncoder:
             core, tail = chunk.lower() if chunk.isascii() else chunk, ""
             if core[-1:] in CLOSING and core[:-1].isalpha():
                 core, tail = core[:-1], core[-1]
-            if core.isalpha():
+            if core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()):
                 apart.append((chunk, core, tail))
             else:
                 odd.append(chunk)
