@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from traceloom.llm.classify import fold
 from traceloom.llm.common import table, written
 from traceloom.llm.decontaminate import remove_contaminated
-from traceloom.llm.mixing import mixture
+from traceloom.llm.mixing import mixed
 from traceloom.llm.near_dup import near_duplicates
 from traceloom.llm.queries import CUT, END_ID, tokenizer_path
 from traceloom.llm.token_output import token_output
@@ -37,9 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    times = mixture(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice. Rows of null or shared doc_id are taken as their own."""
+    return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,6 +246,30 @@ def test_pipeline_stages(spark):
     assert out.count() == mixed.count()
 
 
+def test_mixing_stage_takes_rows_not_ids(spark, docs):
+    import corpus_pipeline as C
+
+    rng = random.Random(11)
+    rows = [(i if i % 5 else None, text(10 + i % 7, rng), f"s{i % 3}" if i % 4 else None) for i in range(60)]
+    rows += [(700, text(5, rng), "s0"), (700, text(40, rng), "s1"), (700, None, "s2"), (700, "", None)] + [(701, text(9, rng), "s1")] * 3
+    given = docs(rows)
+    sizes = lambda rows_: {k: sum(len((t or "").split()) for _, t, s in rows_ if s == k) for k in {s for _, _, s in rows}}
+    got = [(r["doc_id"], r["text"], r["source"]) for r in C.mixing(spark, given, "").collect()]
+    plan = mixing.mixture(given).collect()
+    want, had = {}, {}
+    for r in plan:
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
+    for i, t, s in got:
+        key = (i, s, len((t or "").split()))
+        had[key] = had.get(key, 0) + 1
+    assert had == {k: n for k, n in want.items() if n}
+    assert sum(i is None for i, _, _ in got) > 0 and all(got.count(r) <= 2 * rows.count(r) for r in got)
+    words = sizes(got)
+    assert all(abs(words[r["source"]] - r["target"]) <= 80 for r in plan)
+    assert sum(words.values()) <= 1.5 * sum(sizes(rows).values())
+
+
 def lines_kept(rows):
     """Brute force of line dedup: rows (doc_id, text) of distinct doc_ids."""
     order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0))

@@ -10,7 +10,8 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds what a Python worker holds besides its Arrow batch.
 SLICE_BYTES = 2 << 20
@@ -20,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_hashes(columns: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row, neither null; a null value differs from every other."""
+    values = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return tuple(F.xxhash64(F.lit(salt), *values) for salt in (1, 2))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_hashes, written
 
 #: Fixed values of the contract: weights of the sources in order, share of all words, most copies of a document.
 WEIGHTS = (5, 2, 1)
@@ -48,14 +48,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return totals.select("source", "source_size", F.least("cap", F.coalesce(reached * F.col("weight"), "cap")).alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (taken), taken (words) of each row of docs.
 
     Null texts and texts without words have size 0 and are taken 0 times. A null source is a source of its own. Rows of
     equal doc_id stay apart and follow each other by source and size. The same table gives the same mix. An empty table
-    gives no rows. Other columns are ignored.
+    gives no rows. Other columns are ignored, but for `carried` ones, which are returned too and decide ties.
     """
-    light = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    light = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carried)
     light = written(light, "mix-sizes")  # the texts are read once
     key = F.sha2(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")), 256)
     n = light.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
@@ -68,7 +68,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("part_size"))
     running = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("src", "part", F.coalesce(F.sum("part_size").over(running), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size", *carried)
     rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(parts, ["src", "part"])
     rows = rows.join(targets.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"), "src")
@@ -84,5 +84,20 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     line = Window.partitionBy("range").orderBy("finish", "key", "epoch", "src", "place").rowsBetween(Window.unboundedPreceding, 0)
     copies = copies.join(ranges, "range").withColumn("total", F.col("range_before") + F.sum("size").over(line))
     took = F.count_if((F.col("total") <= budget) & (F.col("size") > 0))
-    out = copies.groupBy("src", "part", "place", "doc_id", "source", "size", "source_size", "target").agg(took.alias("copies"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = copies.groupBy("src", "part", "place", "doc_id", "source", "size", "source_size", "target", *carried).agg(took.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
+
+
+def mixed(docs: DataFrame, **fixed) -> DataFrame:
+    """The rows of docs, all columns, each as often as mixture() takes that row; rows of null or shared doc_id too.
+
+    A row is known by a hash of all its columns; rows equal in all of them stand for one another.
+    """
+    marked = docs.withColumns(dict(zip(("_row1", "_row2"), row_hashes(docs.columns), strict=True)))
+    rows = mixture(marked, carried=("_row1", "_row2"), **fixed).groupBy("_row1", "_row2")
+    taken = written(rows.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_times")).where("_copies > 0"), "mix-rows")
+    once = marked.join(taken.where("_times = 1"), ["_row1", "_row2"]).select(*docs.columns, "_copies")
+    often = marked.join(taken.where("_times > 1"), ["_row1", "_row2"])
+    often = often.groupBy("_row1", "_row2").agg(*(F.first(c).alias(c) for c in docs.columns), F.first("_copies").alias("_copies"))
+    out = once.unionByName(often.select(*docs.columns, "_copies"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
