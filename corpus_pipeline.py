@@ -13,7 +13,7 @@ from traceloom.llm.classify import fold
 from traceloom.llm.common import table, written
 from traceloom.llm.decontaminate import remove_contaminated
 from traceloom.llm.mixing import mixed
-from traceloom.llm.near_dup import near_duplicates
+from traceloom.llm.near_dup import without_near_duplicates
 from traceloom.llm.queries import CUT, END_ID, tokenizer_path
 from traceloom.llm.token_output import token_output
 from traceloom.llm.toxicity import without_toxic
@@ -26,9 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles are 0.8 alike the one of least doc_id stays."""
-    gone = near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of rows whose five-word shingles are 0.8 alike one row stays, of least doc_id; rows of null doc_id stay."""
+    return without_near_duplicates(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

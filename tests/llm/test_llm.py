@@ -270,6 +270,19 @@ def test_mixing_stage_takes_rows_not_ids(spark, docs):
     assert sum(words.values()) <= 1.5 * sum(sizes(rows).values())
 
 
+def test_near_dup_stage_decides_by_row(spark, docs):
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    a, b, c, d, e = (text(60, rng) for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (4, d), (4, d + " again"), (5, a), (6, e), (6, c), (None, a), (None, a), (7, ""), (7, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in C.near_dup(spark, docs(rows), "").collect()), key=str)
+    at_4 = [t for i, t in got if i == 4]
+    assert len(at_4) == 1 and at_4[0] in (d, d + " again")
+    assert [x for x in got if x[0] != 4] == sorted([(1, a), (2, b), (3, c), (6, e), (None, a), (None, a), (7, ""), (7, "")], key=str)
+    assert C.near_dup(spark, docs([]), "").count() == 0
+
+
 def lines_kept(rows):
     """Brute force of line dedup: rows (doc_id, text) of distinct doc_ids."""
     order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0))

@@ -74,7 +74,9 @@ def class_of(values: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.add.reduce(mix64(values ^ salt)).astype(np.int64)) for salt in (np.uint64(0), _STEP))
 
 
-def _signatures(docs: DataFrame, size: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, mark: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, c1, c2, bands and, if named, the long column `mark` of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
             sets = shingle_sets(part.column(1).to_pylist(), size)
@@ -83,9 +85,10 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             for i, row in zip(full, band_hashes([sets[i] for i in full]).astype(np.int64).tolist() if full else [], strict=True):
                 bands[i] = row
             names = [class_of(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "c1", "c2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array(bands, pa.list_(pa.int64())), *part.columns[2:]], ["doc_id", "n", "c1", "c2", "bands", *mark])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bands array<long>")
+    kept = "".join(f", {name} long" for name in mark)
+    return docs.select(F.col("doc_id").cast("long"), "text", *mark).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bands array<long>" + kept)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -243,8 +246,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return only_result(docs.sparkSession, "near-dup", lambda: _near_duplicates(docs, size, percent))
 
 
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, of which each component keeps one: of least doc_id, then by hash of the text, then by all columns.
+
+    Rows count each for itself, also those that share a doc_id; wholly repeated ones are one component. Rows without
+    shingles and of null doc_id stay, all of them. Of (doc_id, text) rows that are kept once, only repeated ones are shuffled
+    with their text.
+    """
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    at = ["doc_id", "_mark"]
+
+    def decided() -> DataFrame:
+        signed, named = _components(marked, size, percent, ("_mark",))
+        rows = signed.where("n > 0 AND doc_id IS NOT NULL").join(named, ["c1", "c2", "n"]).select("doc_id", "_mark", "label")
+        first = rows.groupBy("label").agg(F.min(F.struct(*at)).alias("x")).select("x.*", F.lit(True).alias("first"))
+        each = rows.groupBy(*at).agg(F.count("*").alias("times"))
+        return each.join(first, at, "left").where("first IS NULL OR times > 1").select(*at, F.col("first").isNotNull().alias("again"))
+
+    decisions = only_result(docs.sparkSession, "near-dup", decided)
+    again = decisions.where("again").select(*at)
+    repeated = marked.join(again, at, "left_semi").groupBy(*at).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return marked.join(decisions, at, "left_anti").select(*docs.columns).unionByName(repeated.select("_row.*"))
+
+
 def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    signed = written(_signatures(docs, size), "nd-signatures")
+    signed, named = _components(docs, size, percent)
+    some = signed.where("n > 0 AND doc_id IS NOT NULL")
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "label").select("c1", "c2", "n", "component_id")
+    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = some.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2", "n"]).select("doc_id", "n", "component_id").unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _components(docs: DataFrame, size: int, percent: int, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows of docs, and the classes (c1, c2, n, rep) of those with shingles and doc_id, with their component's label."""
+    signed = written(_signatures(docs, size, mark), "nd-signatures")
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-classes")
     # a class whose band hashes nobody shares has no partner; only shared ones make keys
@@ -287,9 +324,4 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    named = classes.join(label.withColumnRenamed("c", "c1"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").select("c1", "c2", "n", "component_id")
-    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = some.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2", "n"]).select("doc_id", "n", "component_id").unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return signed, classes.join(label.withColumnRenamed("c", "c1"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
