@@ -201,6 +201,31 @@ def test_suffix_dedup_by_brute_force(docs):
     assert suffix_dedup.deduplicated(docs(ODD)).count() == len(ODD)
 
 
+def test_suffix_dedup_splits_a_hot_hash(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2000, raising=False)
+    dealt, made = [], suffix_dedup._pieces_to_sort
+    monkeypatch.setattr(suffix_dedup, "_pieces_to_sort", lambda *a: dealt.append(made(*a)) or dealt[-1])
+    rng = random.Random(13)
+    passage = text(14, rng)
+    rows = [(i if i % 9 else None, text(12, rng) + passage + text(12, rng)) for i in range(90)] + [(200 + i, "x" * (5000 + i)) for i in range(3)] + [(7, text(3, rng) + passage)]
+    out = suffix_dedup.deduplicated(docs(rows)).collect()
+    shards = dealt[0].groupBy("shard").agg(F.sum(F.octet_length("data")).alias("n"), F.max(F.octet_length("data")).alias("largest")).collect()
+    assert max(r["n"] or 0 for r in shards) < 4000
+    seen, want, n = {}, [], 1 << 63
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            seen[t[k : k + 50]] = min(seen.get(t[k : k + 50], n), n if i is None else i)
+    for i, t in rows:
+        mask = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if seen[t[k : k + 50]] < (n if i is None else i):
+                mask[k : k + 50] = True
+        want.append((i, int(mask.sum()), "".join(x for x, m in zip(t, mask, strict=True) if not m)))
+    assert sorted(((r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in out), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("small", [16, 2])
 def test_near_dup_by_brute_force(docs, monkeypatch, small):
     monkeypatch.setattr(near_dup, "SMALL", small)

@@ -5,7 +5,8 @@ starts with one least hash is a piece. First only the hashes travel: a piece goe
 Pieces of a hash range are a shard, whose suffixes are sorted by external induction (see induced); neighbours in that
 order with a common prefix of LENGTH bytes, compared byte for byte, are one string, and its least document is known. Equal
 pieces within one slice of documents are sent once, from the least document: a passage that a third of all documents
-share costs a shard one piece a slice.
+share costs a shard one piece a slice. Pieces of a hash with more than HOT_BYTES of them, such as those of a common passage
+amid differing text, don't go to a shard: they are taken apart into their strings, which are grouped themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, mix64, prefix_hash, slices
@@ -24,6 +25,10 @@ from .induced import suffix_order
 LENGTH, GRAM = 50, 16
 #: Bytes of text for each range of hashes, and for each shard of pieces.
 RANGE_BYTES, SHARD_BYTES = 48 << 20, 3 << 20
+#: A hash whose pieces have more bytes in all is split into strings, so that it can't overfill its shard.
+HOT_BYTES = 1 << 19
+#: Marks such a hash; hashes have HASH_BITS.
+HOT = np.uint64(1 << 63)
 #: Bits of a hash that travel: more only spare pieces that prove single.
 HASH_BITS = 48
 
@@ -73,17 +78,18 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def _hashes(docs: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(range, owners, keys) blobs: of each slice and range the hashes of each document, and whose they are."""
+    """(range, owners, keys, weights) blobs: of each slice and range the hashes of each document, whose they are and the binary log of the bytes of their pieces, 7 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
             data, starts = _joined(part.column(2).to_pylist())
-            key, _, _, owner = pieces(data, starts, length)
+            key, _, count, owner = pieces(data, starts, length)
             if not len(key):
                 continue
             order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
+            key, owner, size = key[order], owner[order], count[order] + length - 1
             first = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+            weight = np.ceil(np.log2(np.maximum(np.add.reduceat(size, np.flatnonzero(first)), 128))).astype(np.uint8)
             key, owner = key[first], owner[first].astype(np.uint32)
             cuts = np.searchsorted(key, _bounds(ranges))
             rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(key)), strict=True)) if b > a]
@@ -91,9 +97,10 @@ def _hashes(docs: DataFrame, ranges: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([r for r, _, _ in rows], pa.int32()), pa.array([ids] * len(rows), pa.list_(pa.int64())), pa.array([marks] * len(rows), pa.list_(pa.int64())),
                 pa.array([owner[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([_narrow(key[a:b]) for _, a, b in rows], pa.binary()),
-            ], ["range", "ids", "marks", "owners", "keys"])
+                pa.array([weight[a:b].tobytes() for _, a, b in rows], pa.binary()),
+            ], ["range", "ids", "marks", "owners", "keys", "weights"])
 
-    return docs.mapInArrow(run, "range int, ids array<long>, marks array<long>, owners binary, keys binary")
+    return docs.mapInArrow(run, "range int, ids array<long>, marks array<long>, owners binary, keys binary, weights binary")
 
 
 def _bounds(ranges: int) -> np.ndarray:
@@ -118,28 +125,99 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def _shared(hashes: DataFrame) -> DataFrame:
-    """(doc, mark, keys): hashes of a document that another one has too."""
+    """(doc, mark, keys, hot): hashes of a document that another one has too, and whether one has HOT, as its pieces have over HOT_BYTES."""
+    most = HOT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            keys = [_wide(k.as_buffer()) for _, _, _, k in rows]
-            every = np.sort(np.concatenate(keys))
-            shared = np.unique(every[1:][every[1:] == every[:-1]])
-            for (ids, marks, owners, _), key in zip(rows, keys, strict=True):
+            keys = [_wide(k.as_buffer()) for _, _, _, k, _ in rows]
+            every = np.concatenate(keys)
+            weight = np.concatenate([np.frombuffer(w.as_buffer(), np.uint8) for *_, w in rows])
+            order = np.argsort(every)
+            every, weight = every[order], weight[order]
+            edge = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            several = np.diff(np.append(edge, len(every))) > 1
+            shared, large = every[edge][several], (np.add.reduceat(np.exp2(weight, dtype=np.float64), edge) > most)[several]
+            for (ids, marks, owners, _, _), key in zip(rows, keys, strict=True):
                 if not len(shared):
                     break
-                hit = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
+                place = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
+                hit = shared[place] == key
                 if not hit.any():
                     continue
-                key, owner = key[hit], np.frombuffer(owners.as_buffer(), np.uint32)[hit]
+                key, owner = key[hit] | np.where(large[place[hit]], HOT, np.uint64(0)), np.frombuffer(owners.as_buffer(), np.uint32)[hit]
                 order = np.argsort(owner, kind="stable")
                 key, owner = key[order], owner[order]
                 edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                hot = np.logical_or.reduceat(key >= HOT, edge)
                 names, tags = ids.values.take(pa.array(owner[edge])), marks.values.take(pa.array(owner[edge]))
-                yield pa.RecordBatch.from_arrays([names, tags, pa.array([x.tobytes() for x in np.split(key, edge[1:])], pa.binary())], ["doc", "mark", "keys"])
+                yield pa.RecordBatch.from_arrays([names, tags, pa.array([x.tobytes() for x in np.split(key, edge[1:])], pa.binary()), pa.array(hot)], ["doc", "mark", "keys", "hot"])
 
     dealt = hashes.repartition("range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "doc long, mark long, keys binary")
+    return dealt.mapInArrow(run, "doc long, mark long, keys binary, hot boolean")
+
+
+def _among(key: np.ndarray, owner: np.ndarray, lists: list[list[bytes]], mark: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """Whether each piece's hash is in its document's list, with this mark."""
+    keep = np.zeros(len(key), bool)
+    cuts = np.searchsorted(owner, np.arange(len(lists) + 1))
+    for i, blobs in enumerate(lists):
+        a, b = cuts[i], cuts[i + 1]
+        if b > a:
+            keep[a:b] = np.isin(key[a:b] | mark, np.frombuffer(b"".join(blobs), np.uint64))
+    return keep
+
+
+def _hot_out(docs: DataFrame, length: int) -> DataFrame:
+    """(doc, mark, start, n): stretches of starts of HOT hashes whose strings are to go.
+
+    Of equal strings in a slice the least document's goes on, once, the others are found already. So a string comes once
+    a slice to where it meets its equals.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch, most=2 * SLICE_BYTES)):
+            data, starts = _joined(part.column(2).to_pylist())
+            key, at, count, owner = pieces(data, starts, length)
+            if not len(key):
+                continue
+            keep = _among(key, owner, part.column(3).to_pylist(), HOT)
+            at, count, owner = at[keep], count[keep], owner[keep]
+            if not len(at):
+                continue
+            ids, marks = (np.array(part.column(i).to_pylist(), np.int64) for i in range(2))
+            total, down = prefix_hash(data)
+            owner, at = np.repeat(owner, count), np.repeat(at, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            whole = mix64((total[at + length] - total[at]) * down[at])
+            order = np.lexsort((at, owner, ids[owner], whole))
+            at, owner, whole = at[order], owner[order], whole[order]
+            doc, begin = ids[owner], starts[owner]
+            head = np.append(True, whole[1:] != whole[:-1])
+            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+            other = np.zeros(len(at), bool)  # an unequal string of equal hash
+            for low in range(0, len(at), 1 << 16):  # byte for byte
+                some = slice(low, low + (1 << 16))
+                strings = np.lib.stride_tricks.sliding_window_view(data, length)
+                other[some] = (strings[at[some]] != strings[at[lead[some]]]).any(axis=1)
+            sent = other | (doc == doc[lead])
+            go = np.flatnonzero(sent)
+            edge = np.flatnonzero(np.append(True, (whole[go][1:] != whole[go][:-1]) | (owner[go][1:] != owner[go][:-1]) | other[go][1:] | other[go][:-1]))
+            names = [data[x : x + length].tobytes() for x in at[go[edge]].tolist()]
+            where = np.split(at[go] - begin[go], edge[1:])
+            rest = np.flatnonzero(~sent)
+            rest = rest[np.argsort(at[rest])]
+            first = np.flatnonzero(np.append(True, (np.diff(at[rest]) != 1) | (np.diff(owner[rest]) != 0))) if len(rest) else rest
+            spans, n = rest[first], np.diff(np.append(first, len(rest)))
+            apart = [np.array(x, np.int64).tobytes() for x in zip(doc[spans].tolist(), at[spans].tolist(), strict=True)]  # no string is so short
+            lead_n = len(edge)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(names + apart, pa.binary()), pa.array(np.append(doc[go[edge]], doc[spans])), pa.array(marks[np.append(owner[go[edge]], owner[spans])]),
+                pa.array([*where, *(at[spans] - begin[spans])[:, None]], pa.list_(pa.int64())), pa.array(np.append(np.ones(lead_n, np.int64), n)), pa.array(np.arange(lead_n + len(spans)) >= lead_n),
+            ], ["string", "doc", "mark", "starts", "n", "found"])
+
+    strings = docs.mapInArrow(run, "string binary, doc long, mark long, starts array<long>, n long, found boolean")
+    least = F.min("doc").over(Window.partitionBy("string"))
+    return strings.withColumn("least", least).where(F.col("found") | (F.col("doc") > F.col("least"))).select("doc", "mark", F.explode("starts").alias("start"), "n")
 
 
 FOUND = "shard int, docs binary, marks binary, starts binary, counts binary, data binary"
@@ -154,13 +232,7 @@ def _pieces_to_sort(docs: DataFrame, shards: int, length: int) -> DataFrame:
             key, at, count, owner = pieces(data, starts, length)
             if not len(key):
                 continue
-            lists = part.column(3).to_pylist()
-            keep = np.zeros(len(key), bool)
-            cuts = np.searchsorted(owner, np.arange(len(lists) + 1))
-            for i, blobs in enumerate(lists):
-                a, b = cuts[i], cuts[i + 1]
-                if b > a:
-                    keep[a:b] = np.isin(key[a:b], np.frombuffer(b"".join(blobs), np.uint64))
+            keep = _among(key, owner, part.column(3).to_pylist())
             key, at, count, owner = key[keep], at[keep], count[keep], owner[keep]
             if not len(key):
                 continue
@@ -285,9 +357,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True)
     ranges = min(ranges, max(1, bytes_ // (1 << 18)))
     shards = min(shards, max(1, bytes_ // (1 << 14)))
     keyed = base.select("doc", "mark", "text")
-    shared = _shared(_hashes(keyed, int(ranges), length)).groupBy("doc", "mark").agg(F.collect_list("keys").alias("keys"))
-    some = base.join(shared, ["doc", "mark"]).select("doc", "mark", "text", "keys", "nameless")  # all of base: the last join reuses its shuffle
-    gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length)
+    shared = _shared(_hashes(keyed, int(ranges), length)).groupBy("doc", "mark").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
+    some = base.join(shared, ["doc", "mark"]).select("doc", "mark", "text", "keys", "hot", "nameless")  # all of base: the last join reuses its shuffle
+    gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length).unionByName(_hot_out(some.where("hot"), length))
     spans = gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
