@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD
-from traceloom.llm import classify, decontaminate, fingerprint, induced, langid, mixing, near_dup, quality, suffix_dedup, token_output, toxicity
+from traceloom.llm import classify, common, decontaminate, fingerprint, induced, langid, mixing, near_dup, quality, suffix_dedup, token_output, toxicity
 from traceloom.llm.queries import tokenizer_path
 
 RNG = random.Random(5)
@@ -47,11 +47,24 @@ def test_memoised_encoder_equals_the_tokenizer():
         assert list(encoder.encode(t)) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_letters_that_normalise_to_marks():
+def test_every_letter_equals_the_tokenizer():
+    """Each letter alone, before closing marks, after others and with an apostrophe; those that normalise to marks too."""
     encoder = token_output.WordEncoder(tokenizer_path())
-    same = lambda t: list(encoder.encode(t)) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
-    assert same("VERGİSİ. VERGİSİ \u0958. \u0958 \ufb1d. İ! word. word")
-    assert [hex(c) for c in range(0x30000) if chr(c).isalpha() and not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or 0x20000 <= c) and not same(f"a{chr(c)}. {chr(c)}b) a{chr(c)}")] == []
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha() and not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or 0x20000 <= c)]
+    rows = ["VERGİSİ. VERGİSİ \u0958. \u0958 \ufb1d. İ! J\u030c word. word", *(f"a{c}. {c}b) a{c}'s {c}" for c in letters)]
+    true = [np.array(x.ids) for x in encoder.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+    assert [x for x, a, b in zip(rows, encoder.encode_all(rows), true, strict=True) if not np.array_equal(a, b)] == []
+
+
+def test_span_keys_tell_bytes_apart():
+    rng = np.random.default_rng(3)
+    parts = [bytes(rng.integers(0, 3, rng.integers(0, 30), np.uint8)) for _ in range(3000)] + [b"\0", b"\0\0", b"", b"x" * 5000, b"x" * 5001]
+    data, at = common.joined_bytes(parts, b"")
+    keys = common.span_keys(data, at[:-1], at[1:])
+    named = {}
+    for part, key in zip(parts, zip(*keys.tolist(), strict=True), strict=True):
+        assert named.setdefault(key, part) == part
+    assert len(named) == len(set(parts))
 
 
 def test_token_output(docs):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +98,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
+_FACTORS = mix64(np.arange(901, 903, dtype=np.uint64)) | np.uint64(1)
+#: Masks of the low 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_SPAN = 1 << 12
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i < n."""
     inverse = pow(_ODD, -1, 1 << 64)
@@ -119,6 +126,28 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down[:n]
 
 
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each data[s:e], by its bytes alone, eight bytes a round; a row for each hash. Spans of over LONG_SPAN bytes are hashed one by one."""
+    size = ends - starts
+    out = np.empty((2, len(starts)), np.uint64)
+    out[0] = mix64(size.astype(np.uint64) + np.uint64(_ODD))
+    out[1] = mix64(size.astype(np.uint64) * np.uint64(_ODD) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    long = size > LONG_SPAN
+    left, at = np.flatnonzero((size > 0) & ~long), 0
+    while len(left):
+        rest = size[left] - at
+        word = eight[starts[left] + at] & _LOW[np.minimum(rest, 8)]
+        for k in range(2):
+            out[k, left] = mix64((out[k, left] ^ word) * _FACTORS[k] + np.uint64(k))
+        at += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(long):
+        out[:, i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return out
+
+
 def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes; is_word has 256 booleans."""
     mask = np.zeros(len(data) + 2, np.int8)

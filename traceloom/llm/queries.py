@@ -41,7 +41,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_output(documents(spark, sf_dir), tokenizer_path(), END_ID)
+    out = token_output(documents(spark, sf_dir), tokenizer_path(), END_ID, with_ids=False)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices
+from .common import joined_bytes, shared_dir, slices, span_keys, word_spans
 
 #: Ids in a word and bits of each, by selector.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240])
@@ -33,8 +32,12 @@ WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 STRIDE = 256
 MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
-CACHED_WORDS = 400_000
-CLOSING = set(".,;:!?)|")
+#: Pieces that an encoder holds at most (about 40 bytes each), and the bytes of the longest.
+HELD_PIECES = 1 << 20
+LONG = 128
+#: What the pre-tokeniser takes a byte for; ODD: not told by the byte alone.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+KINDS = np.array([SPACE if chr(b) in " \t\n\r" else ODD if b < 32 or b > 126 or chr(b) == "'" else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK for b in range(256)], np.uint8)
 
 STORED = "shard int, block int, first_id long, n_ids long, doc_ids array<long>, payload binary"
 
@@ -126,72 +129,161 @@ def ids_between(payload: bytes, start: int, end: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """A tokenizer whose pre-tokeniser never joins text across white space: encodes each distinct chunk once.
+    """A tokenizer whose pre-tokeniser never joins text across white space: encodes each distinct piece once.
 
-    Chunks are what space, tab, newline and carriage return part. What is new is taken apart into letters and one closing
-    mark, as the pre-tokeniser does it, and new words of letters go to the tokenizer together; there each ends with a token
-    that ends a word, or else each goes alone. Letters that the normaliser turns into a letter and a combining mark are none
-    here: the pre-tokeniser cuts before the mark and joins it with what follows. The memo has two generations of bounded size, of which the older is dropped.
+    Chunks are what space, tab, newline and carriage return part. Plain chunks (ASCII, without apostrophes, control
+    characters or what begins an added token) are cut as the pre-tokeniser cuts them: letters, single digits, runs of marks.
+    Every other chunk is a piece as it stands. Pieces are found in a table by two 64-bit hashes of their bytes; new ones
+    go to the tokenizer, plain ones together (each ends with a token that ends a word), others parted by an added token.
+    The table holds at most `most` pieces and starts afresh when full. Pieces of over LONG bytes are never held.
     """
 
-    def __init__(self, path: str, most: int = CACHED_WORDS):
+    def __init__(self, path: str, most: int = HELD_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.memo, self.old = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _alone(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return self._alone(words)
-        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        memo, old, apart, odd = self.memo, self.old, [], []
-        for chunk in missing:
-            if chunk in old:
-                memo[chunk] = old[chunk]
-                continue
-            core, tail = chunk.lower() if chunk.isascii() else chunk, ""
-            if core[-1:] in CLOSING and core[:-1].isalpha():
-                core, tail = core[:-1], core[-1]
-            if core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()):
-                apart.append((chunk, core, tail))
+        added = {i: x.content for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.begins = sorted({x[:2].encode() for x in added.values()})
+        self.parting = next(iter(added.items()), None)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = np.full(1 << (2 * self.most - 1).bit_length(), -1, np.int32)
+        self.keys = np.zeros((2, self.most), np.uint64)
+        self.first, self.count, self.n = np.zeros(self.most, np.int64), np.zeros(self.most, np.int32), 0
+        self.ids, self.used = np.zeros(4 * self.most, np.uint32), 0
+
+    def _alone(self, piece: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _together(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has."""
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if plain or self.parting:
+            mark = " " if plain else f" {self.parting[1]} "
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            if plain:
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(pieces) and ends[-1] == len(ids):
+                    return ids, np.diff(ends, prepend=0)
             else:
-                odd.append(chunk)
-        new = list({core for _, core, _ in apart if core not in memo})
-        memo.update(zip(new, self._words(new), strict=True))
-        marks = {tail for _, _, tail in apart if tail and tail not in memo}
-        odd.extend(marks)
-        memo.update(zip(odd, self._alone(odd), strict=True))
-        for chunk, core, tail in apart:
-            memo[chunk] = memo[core] + memo[tail] if tail else memo[core]
+                cuts = np.flatnonzero(ids == self.parting[0])
+                if len(cuts) == len(pieces) - 1:
+                    return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        each = [self._alone(x) for x in pieces]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each pair of hashes, or -1."""
+        out, mask = np.full(keys.shape[1], -1, np.int32), np.uint64(len(self.slots) - 1)
+        left, at = np.arange(keys.shape[1]), (keys[0] & mask).astype(np.int64)
+        while len(left):
+            entry = self.slots[at]
+            held = entry >= 0
+            same = held & (self.keys[0, entry] == keys[0, left]) & (self.keys[1, entry] == keys[1, left])
+            out[left[same]] = entry[same]
+            on = held & ~same
+            left, at = left[on], (at[on] + 1) & int(mask)
+        return out
+
+    def _hold(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Adds entries whose pairs of hashes differ from each other and from those held."""
+        n, mask = keys.shape[1], len(self.slots) - 1
+        entry = np.arange(self.n, self.n + n, dtype=np.int32)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.keys[:, entry], self.count[entry] = keys, counts
+        self.first[entry] = self.used + np.cumsum(counts) - counts
+        self.n, self.used = self.n + n, self.used + len(ids)
+        at = (keys[0] & np.uint64(mask)).astype(np.int64)
+        while len(entry):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entry[free]
+            on = self.slots[at] != entry
+            entry, at = entry[on], (at[on] + 1) & mask
+
+    def _pieces(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of pieces, which of them are plain, and the bytes with A-Z of plain ones as lower case."""
+        kind = KINDS[data]
+        for two in self.begins:
+            kind[:-1][(data[:-1] == two[0]) & (data[1:] == two[1])] = ODD
+        starts, ends = word_spans(kind, np.arange(256) != SPACE)
+        odd = np.add.reduceat(kind == ODD, starts, dtype=np.int64) > 0 if len(starts) else np.zeros(0, bool)
+        if len(starts):  # a chunk and the space after it are summed: spaces are not odd
+            inside = np.repeat(odd, np.diff(np.append(starts, len(data))))
+            kind[starts[0] :][inside & (kind[starts[0] :] != SPACE)] = ODD
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        starts = np.flatnonzero(cut)
+        starts, ends = starts[:-1], starts[1:]
+        piece = kind[starts] != SPACE
+        starts, ends = starts[piece], ends[piece]
+        return starts, ends, kind[starts] != ODD, np.where(kind == LETTER, data | 32, data)
+
+    def encode_bytes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8), one after the other, and where each text's begin (and the end)."""
+        data, begin = joined_bytes(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        starts, ends, plain, data = self._pieces(data)
+        long = ends - starts > LONG
+        keys = span_keys(data, starts, np.where(long, starts, ends))
+        entry = self._find(keys)
+        missing = np.flatnonzero((entry < 0) & ~long)
+        new = missing[np.unique(keys[0, missing], return_index=True)[1]]
+        if self.n + len(new) > self.most:
+            self._clear()
+            entry[:] = -1
+            missing = np.flatnonzero(~long)
+            new = missing[np.unique(keys[0, missing], return_index=True)[1]]
+        raw = data.tobytes()
+        new = np.concatenate([new[plain[new]], new[~plain[new]]])[: self.most]
+        for of in (new[plain[new]], new[~plain[new]]):
+            text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]
+            begins = [] if len(of) and plain[of[0]] else [x.decode() for x in self.begins]
+            apart = [k for k, x in enumerate(text) if any(b in x for b in begins)] if begins else []  # may hold the parting token
+            if apart:
+                each = [self._alone(text[k]) for k in apart]
+                self._hold(keys[:, of[apart]], np.concatenate(each), np.array([len(x) for x in each]))
+                of, text = np.delete(of, apart), [x for k, x in enumerate(text) if k not in set(apart)]
+            self._hold(keys[:, of], *self._together(text, bool(len(of)) and bool(plain[of[0]])))
+        entry[missing] = self._find(keys[:, missing])
+        ids, first, count = self.ids, self.first[entry], self.count[entry].astype(np.int64)
+        rest = np.flatnonzero(entry < 0)  # long, beyond what the table holds, or of equal first hashes
+        if len(rest):
+            each = [self._alone(raw[a:b].decode("utf-8", "replace")) for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            count[rest] = [len(x) for x in each]
+            first[rest] = self.used + np.cumsum(count[rest]) - count[rest]
+            ids = np.concatenate([ids[: self.used], *each])
+        until = np.append(0, np.cumsum(count))
+        out = ids[np.repeat(first - until[:-1], count) + np.arange(until[-1])]
+        return out, until[np.searchsorted(starts, begin)]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        missing = set().union(*chunks).difference(self.memo)
-        if len(self.memo) + len(missing) > self.most:
-            self.memo, self.old = {}, self.memo
-            missing = set().union(*chunks)
-        self._learn(list(missing))
-        look = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(look, x)), "<u4") for x in chunks]
+        ids, at = self.encode_bytes([x.encode("utf-8", "replace") for x in texts])
+        return np.split(ids, at[1:-1]) if texts else []
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
 
+_held: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a tokenizer, one a Python worker: later tasks find what earlier ones learned."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = WordEncoder(path)
+    return _held[path]
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     """Encodes docs.text (null: empty), appends end_id to each document, and writes blocks in ascending doc_id order.
 
@@ -200,15 +292,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bloc
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(tokenizer_path), TaskContext.get().partitionId()
         names, docs_, block, before, n = [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([to_block(docs_)], pa.binary())], ["shard", "block", "first_id", "n_ids", "doc_ids", "payload"])
 
         for part in (x for batch in batches for x in slices(batch)):
-            texts = encoder.encode_all([x or "" for x in part.column(1).to_pylist()])
-            for name, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            all_ids, at = encoder.encode_bytes([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])
+            for name, text in zip(part.column(0).to_pylist(), np.split(all_ids, at[1:-1]), strict=True):
                 ids = np.append(text, np.uint32(end_id))
                 if n and n + len(ids) > block_ids:
                     yield row()
@@ -223,8 +315,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bloc
     ordered.mapInArrow(encode, STORED).write.option("parquet.block.size", 16 << 20).parquet(path)
 
 
-def read_ids(stored: DataFrame) -> DataFrame:
-    """A row for each document of a stored table: doc_id, start, n_tokens, ids_crc32, ids (array<int>), shard."""
+def read_ids(stored: DataFrame, with_ids: bool = True) -> DataFrame:
+    """A row for each document of a stored table: doc_id, start, n_tokens, ids_crc32, shard, and ids (array<long>) if asked."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,20 +324,23 @@ def read_ids(stored: DataFrame) -> DataFrame:
                 documents = from_block(payload)
                 sizes = np.array([len(x) for x in documents], np.int64)
                 sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in documents]
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(documents).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(sums, pa.int64()), ids, pa.array([shard] * len(names), pa.int32())], ["doc_id", "in_shard", "n_tokens", "ids_crc32", "ids", "shard"])
+                columns = [pa.array(names, pa.int64()), pa.array(first + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(sums, pa.int64()), pa.array([shard] * len(names), pa.int32())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(documents).astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "in_shard", "n_tokens", "ids_crc32", "shard", "ids"][: len(columns)])
 
-    rows = stored.select("shard", "first_id", "doc_ids", "payload").mapInArrow(decode, "doc_id long, in_shard long, n_tokens long, ids_crc32 long, ids array<long>, shard int")
+    fields = "doc_id long, in_shard long, n_tokens long, ids_crc32 long, shard int" + ", ids array<long>" * with_ids
+    rows = stored.select("shard", "first_id", "doc_ids", "payload").mapInArrow(decode, fields)
     sizes = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each file
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", "ids", "shard")
+    return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard", *["ids"] * with_ids)
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Writes the ids of docs and reads them back: see write_ids and read_ids. Empty tables give no rows."""
     import uuid
 
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     write_ids(docs, path, tokenizer_path, end_id)
-    return read_ids(spark.read.schema(STORED).parquet(path))
+    return read_ids(spark.read.schema(STORED).parquet(path), with_ids)
