@@ -15,6 +15,8 @@ from .common import slices
 #: Bounds of a fit: labelled rows, and characters of their texts, taken in hash order. Scores cover every row.
 FIT_ROWS = 8_000
 FIT_CHARS = 24_000_000
+#: Times rows_most labels that are looked up at most.
+TRIES = 16
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -25,27 +27,45 @@ def fold_of(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
 
-def labelled_sample(rows: DataFrame, label: str, rows_most: int = FIT_ROWS, chars_most: int = FIT_CHARS) -> tuple[list[str], list]:
-    """Texts and labels of at most rows_most rows (text, label) and about chars_most characters, in hash order.
+def labelled_sample(rows: DataFrame, label: str, rows_most: int = FIT_ROWS, chars_most: int = FIT_CHARS, texts: DataFrame | None = None) -> tuple[list[str], list]:
+    """Texts and labels of at most rows_most rows, in hash order of doc_id, up to the first that would pass chars_most characters.
 
-    Rows with a null text or label teach nothing and are left out. Equal inputs give equal samples.
+    rows has doc_id, the label and, unless texts (doc_id, text) is given, text. With texts the sample is chosen from the
+    labels alone: rows_most ids, or TRIES times as many if too few of those have a text, are broadcast to a scan of the
+    texts, which are not shuffled. Null doc_ids, texts and labels teach nothing; an id with several labels has its least.
+    The first row is taken whatever its length. Equal inputs give equal samples.
     """
-    known = rows.select("doc_id", "text", label).where(F.col("text").isNotNull() & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    order = F.xxhash64("doc_id")
-    light = known.select("doc_id", order.alias("_h"), F.length("text").alias("_n")).orderBy("_h", "doc_id", "_n").limit(rows_most).collect()
+    spark, order, found = rows.sparkSession, F.xxhash64("doc_id"), {}
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    named = lambda ids: F.broadcast(spark.createDataFrame([(x,) for x in ids], "doc_id long"))
+    long = lambda df: df.where(F.col("text").isNotNull()).select("doc_id", order.alias("_h"), F.length("text").alias("_n")).orderBy("_h", "doc_id", "_n").limit(rows_most).collect()
+    if texts is None:
+        texts = rows
+        light = long(rows)
+    else:
+        texts = texts.where(F.col("doc_id").isNotNull())
+        for most in (rows_most, TRIES * rows_most):
+            some = rows.select("doc_id", label).orderBy(order, "doc_id", label).limit(most).collect()
+            found = {}
+            for x, y in some:
+                found.setdefault(x, y)
+            light = long(texts.join(named(found), "doc_id", "left_semi")) if found else []
+            if len(some) < most or len(light) >= rows_most:
+                break
     kept, total = [], 0
     for row in light:
         if total and total + row["_n"] > chars_most:
-            continue
-        kept.append((row["doc_id"], row["_h"]))
+            break
+        kept.append((row["doc_id"], row["_n"]))
         total += row["_n"]
     if not kept:
         return [], []
-    names = known.sparkSession.createDataFrame([(a,) for a, _ in kept], "doc_id long")
-    found = known.join(F.broadcast(names), "doc_id", "left_semi").toPandas()
-    found["_h"] = [zlib.crc32(str(x).encode()) for x in found["doc_id"]]
-    found = found.sort_values(["_h", "doc_id", "text"], kind="stable")
-    return found["text"].tolist(), found[label].tolist()
+    sizes = spark.createDataFrame(sorted(set(kept)), "doc_id long, _n int")  # a shared id may have longer texts too
+    texts = texts.where(F.col("text").isNotNull()).select("doc_id", "text", *([] if found else [label]), F.length("text").alias("_n"))
+    got = texts.join(F.broadcast(sizes), ["doc_id", "_n"], "left_semi").drop("_n").toPandas()
+    got["_h"] = [zlib.crc32(str(x).encode()) for x in got["doc_id"]]
+    got = got.sort_values(["_h", "doc_id", "text"], kind="stable").head(rows_most)
+    return got["text"].tolist(), [found[x] for x in got["doc_id"]] if found else got[label].tolist()
 
 
 def scored(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str) -> DataFrame:

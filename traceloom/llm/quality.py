@@ -133,8 +133,8 @@ def scorer(model: dict) -> Callable[[list[str | None]], dict]:
 def quality_scores(docs: DataFrame, training: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id and score (0 to 1) of each row of docs, null and empty texts too.
 
-    training has doc_id, text and label (1: good); of it a bounded sample is fitted (see classify). Other columns of
+    training has doc_id, label (1: good) and, if its texts aren't those of docs, text; of it a bounded sample is fitted (see classify). Rows of null doc_id are scored but teach nothing. Other columns of
     either are ignored; repeated rows are scored as often as they stand; an empty docs gives no rows.
     """
-    model = fit(*labelled_sample(training, label))
+    model = fit(*labelled_sample(training, label, texts=None if "text" in training.columns else docs))
     return scored(docs, lambda: scorer(model), "score double")

@@ -36,8 +36,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
+def held_out(n: int, which: int):
+    """Whether a row's fold is not for learning; false for a null doc_id."""
+    return F.coalesce(fold(F.col("doc_id"), n) == which, F.lit(False))
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,21 +47,21 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    training = labelled(spark, sf_dir).where(fold(F.col("doc_id"), 5) != 0)
+    training = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", "quality")
     out = quality_scores(documents(spark, sf_dir), training)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = languages(docs, docs.where(fold(F.col("doc_id"), 4) != 2))
-    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("best_lang").alias("lang_pred"), "score", "accepted")
+    out = languages(docs, docs.where(~held_out(4, 2)))
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), F.col("best_lang").alias("lang_pred"), "score", "accepted")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    training = labelled(spark, sf_dir).where(fold(F.col("doc_id"), 4) != 2)
+    training = table(spark, sf_dir, "labels").where(~held_out(4, 2)).select("doc_id", "toxic")
     out = toxicity_scores(documents(spark, sf_dir), training)
-    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
