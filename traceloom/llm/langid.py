@@ -19,7 +19,11 @@ from .common import joined_bytes
 BUCKETS, DIMS = 1 << 16, 16
 SEED = 6
 UNKNOWN = "und"
-FIT_ROWS, FIT_CHARS = 6_000, 12_000_000
+#: Bounds of a fit (see classify.labelled_sample); what is taken is learned whole, in stretches of so many characters.
+FIT_ROWS, FIT_CHARS = 6_000, 8_000_000
+STRETCHES = (40, 160, 600)
+#: Stretches that a fit goes through at least, in more epochs if there are few.
+STEPS = 40_000
 LETTER = re.compile(r"[^\W\d_]")
 #: What is not an ASCII letter or part of a longer character becomes a space.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -68,14 +72,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
-    """Of each text a short, a middle and a long stretch, so that short texts are learned too."""
+    """The whole of each text, cut into short, middle and long stretches by turns, so that short texts are learned too."""
     out, y = [], []
     for text, label in zip(texts, labels, strict=True):
-        for n in (40, 160, 600):
-            start = int(rng.integers(0, max(1, len(text) - n + 1)))
-            if LETTER.search(piece := text[start : start + n]):
+        start, turn = 0, int(rng.integers(0, len(STRETCHES)))
+        while start < len(text):
+            end = start + STRETCHES[turn % len(STRETCHES)]
+            if LETTER.search(piece := text[start:end]):
                 out.append(piece)
                 y.append(label)
+            start, turn = end, turn + 1
     return out, np.array(y, np.int64)
 
 
@@ -95,6 +101,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.5,
         bags.append(bag[bag != BUCKETS])
     rows = rng.uniform(-1, 1, (BUCKETS, DIMS)) / DIMS
     top = np.zeros((DIMS, len(names)))
+    epochs = max(epochs, -(-STEPS // max(1, len(bags))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(bags))
@@ -112,7 +119,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.5,
             for d in range(DIMS):
                 rows[places, d] -= np.bincount(inverse, back[owner, d], len(places))
     table = np.ascontiguousarray((rows @ top).T, np.float32)
-    unseen, truth = pieces([t for t, h in zip(texts, held, strict=True) if h], y[held], rng)
+    unseen, truth = pieces(whole := [t for t, h in zip(texts, held, strict=True) if h], y[held], rng)
+    unseen, truth = unseen + whole, np.concatenate([truth, y[held]])
     logits = _pooled(unseen, table)
     t = temperature(logits, truth)
     p = _softmax(logits / t)
