@@ -22,7 +22,7 @@ from traceloom.llm.toxicity import without_toxic
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score CUT or more go. Learns from the labelled rows that op7 learns from."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
-    return without_toxic(docs, docs.select("doc_id", "text").join(labels, "doc_id"), CUT)
+    return without_toxic(docs, labels.select("doc_id", "toxic"), CUT)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token ids of what is left and returns a row for each document, read back from the files."""
-    return token_output(docs, tokenizer_path(), END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_output(docs, tokenizer_path(), END_ID, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [("toxicity", toxicity), ("near-dup", near_dup), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
