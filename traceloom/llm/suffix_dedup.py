@@ -1,12 +1,13 @@
 """Suffix-array dedup: removes each byte covered by a string of LENGTH bytes that also starts in a document of smaller id.
 
 A string belongs to the least hash of its GRAM-byte runs, so equal strings meet wherever that hash is dealt. A stretch of
-starts with one least hash is a piece. First only the hashes travel: a piece goes on if another document has its hash.
-Pieces of a hash range are a shard, whose suffixes are sorted by external induction (see induced); neighbours in that
-order with a common prefix of LENGTH bytes, compared byte for byte, are one string, and its least document is known. Equal
-pieces within one slice of documents are sent once, from the least document: a passage that a third of all documents
-share costs a shard one piece a slice. Pieces of a hash with more than HOT_BYTES of them, such as those of a common passage
-amid differing text, don't go to a shard: they are taken apart into their strings, which are grouped themselves.
+starts with one least hash is a piece. A text that a smaller document has too goes whole and takes no part. First only the
+hashes travel: a piece goes on if another document has its hash. Pieces of a hash range are a shard, whose suffixes are
+sorted by external induction (see induced); neighbours in that order with a common prefix of LENGTH bytes, compared byte for
+byte, are one string, and its least document is known. Equal pieces (by 64 bits and their length) within one slice of
+documents are sent once, from the least document: a passage that a third of all documents share costs a shard one piece a
+slice. Pieces of a hash with more than HOT_BYTES of them, such as those of a common passage amid differing text, don't go to
+a shard: they are taken apart into their strings, which are grouped themselves.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mix64, prefix_hash, slices
+from .common import SLICE_BYTES, eight_bytes, in_arrow, mix64, slices, span_hashes, written
 from .induced import suffix_order
 
+#: A gram is two numbers of eight bytes.
 LENGTH, GRAM = 50, 16
+_GRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Starts whose least hashes are found in one step.
+CHUNK = 1 << 16
 #: Bytes of text for each range of hashes, and for each shard of pieces.
 RANGE_BYTES, SHARD_BYTES = 48 << 20, 3 << 20
 #: A hash whose pieces have more bytes in all is split into strings, so that it can't overfill its shard.
@@ -45,14 +50,17 @@ def pieces(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
-    total, down = prefix_hash(data)
-    n = len(data) - GRAM + 1
-    least = mix64((total[GRAM:] - total[:n]) * down[:n]) >> np.uint64(64 - HASH_BITS)
-    have = 1
-    while have < wide:
-        more = min(have, wide - have)
-        least = np.minimum(least[:-more], least[more:])
-        have += more
+    eight, m = eight_bytes(data), len(data) - length + 1
+    least = np.empty(m, np.uint64)
+    for low in range(0, m, CHUNK):  # small steps, so that what a step needs stays in the processor's caches
+        n = min(CHUNK, m - low) + wide - 1
+        part = mix64(mix64(eight[low : low + n] * _GRAM_FACTOR) ^ eight[low + 8 : low + 8 + n]) >> np.uint64(64 - HASH_BITS)
+        have = 1
+        while have < wide:
+            more = min(have, wide - have)
+            part = np.minimum(part[:-more], part[more:])
+            have += more
+        least[low : low + CHUNK] = part
     # starts whose string ends within their document
     sizes = np.diff(starts)
     counts = np.maximum(sizes - length + 1, 0)
@@ -78,11 +86,11 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def _hashes(docs: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(range, owners, keys, weights) blobs: of each slice and range the hashes of each document, whose they are and the binary log of the bytes of their pieces, 7 at least."""
+    """Of each slice and range of hashes: marks of the documents that have some, and blobs of owners (places in marks), keys and weights, the binary log of the bytes of a key's pieces, 7 at least."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # of docs (mark, text, ..)
         for part in (x for batch in batches for x in slices(batch)):
-            data, starts = _joined(part.column(2).to_pylist())
+            data, starts = _joined(part.column(1).to_pylist())
             key, _, count, owner = pieces(data, starts, length)
             if not len(key):
                 continue
@@ -93,14 +101,24 @@ def _hashes(docs: DataFrame, ranges: int, length: int) -> DataFrame:
             key, owner = key[first], owner[first].astype(np.uint32)
             cuts = np.searchsorted(key, _bounds(ranges))
             rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(key)), strict=True)) if b > a]
-            ids, marks = part.column(0).to_pylist(), part.column(1).to_pylist()
+            own = [np.unique(owner[a:b], return_inverse=True) for _, a, b in rows]
             yield pa.RecordBatch.from_arrays([
-                pa.array([r for r, _, _ in rows], pa.int32()), pa.array([ids] * len(rows), pa.list_(pa.int64())), pa.array([marks] * len(rows), pa.list_(pa.int64())),
-                pa.array([owner[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([_narrow(key[a:b]) for _, a, b in rows], pa.binary()),
+                pa.array([r for r, _, _ in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x, _ in own)]), pa.int32()), part.column(0).take(pa.array(np.concatenate([x for x, _ in own])))),
+                pa.array([_planes(x.astype("<u4")) for _, x in own], pa.binary()), pa.array([_narrow(key[a:b]) for _, a, b in rows], pa.binary()),
                 pa.array([weight[a:b].tobytes() for _, a, b in rows], pa.binary()),
-            ], ["range", "ids", "marks", "owners", "keys", "weights"])
+            ], ["range", "marks", "owners", "keys", "weights"])
+
+    return docs.transform(in_arrow, run, "range int, marks array<long>, owners binary, keys binary, weights binary")
+
 
-    return docs.mapInArrow(run, "range int, ids array<long>, marks array<long>, owners binary, keys binary, weights binary")
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes before all second ones: the upper ones of small numbers are zeros that compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
 
 def _bounds(ranges: int) -> np.ndarray:
@@ -125,12 +143,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def _shared(hashes: DataFrame) -> DataFrame:
-    """(doc, mark, keys, hot): hashes of a document that another one has too, and whether one has HOT, as its pieces have over HOT_BYTES."""
+    """(mark, keys, hot): hashes of a document that another one has too, and whether one has HOT, as its pieces have over HOT_BYTES."""
     most = HOT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            keys = [_wide(k.as_buffer()) for _, _, _, k, _ in rows]
+            keys = [_wide(k.as_buffer()) for _, _, k, _ in rows]
             every = np.concatenate(keys)
             weight = np.concatenate([np.frombuffer(w.as_buffer(), np.uint8) for *_, w in rows])
             order = np.argsort(every)
@@ -138,23 +156,29 @@ def _shared(hashes: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
             several = np.diff(np.append(edge, len(every))) > 1
             shared, large = every[edge][several], (np.add.reduceat(np.exp2(weight, dtype=np.float64), edge) > most)[several]
-            for (ids, marks, owners, _, _), key in zip(rows, keys, strict=True):
+            for (marks, owners, _, _), key in zip(rows, keys, strict=True):
                 if not len(shared):
                     break
                 place = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
                 hit = shared[place] == key
                 if not hit.any():
                     continue
-                key, owner = key[hit] | np.where(large[place[hit]], HOT, np.uint64(0)), np.frombuffer(owners.as_buffer(), np.uint32)[hit]
+                key, owner = key[hit] | np.where(large[place[hit]], HOT, np.uint64(0)), _from_planes(owners.as_buffer(), "<u4")[hit]
                 order = np.argsort(owner, kind="stable")
                 key, owner = key[order], owner[order]
                 edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 hot = np.logical_or.reduceat(key >= HOT, edge)
-                names, tags = ids.values.take(pa.array(owner[edge])), marks.values.take(pa.array(owner[edge]))
-                yield pa.RecordBatch.from_arrays([names, tags, pa.array([x.tobytes() for x in np.split(key, edge[1:])], pa.binary()), pa.array(hot)], ["doc", "mark", "keys", "hot"])
+                yield pa.RecordBatch.from_arrays([marks.values.take(pa.array(owner[edge])), pa.array([x.tobytes() for x in np.split(key, edge[1:])], pa.binary()), pa.array(hot)], ["mark", "keys", "hot"])
 
     dealt = hashes.repartition("range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "doc long, mark long, keys binary, hot boolean")
+    return dealt.transform(in_arrow, run, "mark long, keys binary, hot boolean")
+
+
+def _copies(base: DataFrame) -> DataFrame:
+    """(mark, copies): the documents of a mark whose text, known by 128 bits and its length, is also the text of a smaller one."""
+    light = base.select("doc", "mark", F.xxhash64(F.lit(3), "text").alias("t1"), F.xxhash64(F.lit(4), "text").alias("t2"), F.octet_length("text").alias("n"))
+    several = light.groupBy("t1", "t2", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("last > least")
+    return light.join(several, ["t1", "t2", "n"]).where("doc > least").groupBy("mark").agg(F.collect_set("doc").alias("copies"))
 
 
 def _among(key: np.ndarray, owner: np.ndarray, lists: list[list[bytes]], mark: np.uint64 = np.uint64(0)) -> np.ndarray:
@@ -186,9 +210,8 @@ def _hot_out(docs: DataFrame, length: int) -> DataFrame:
             if not len(at):
                 continue
             ids, marks = (np.array(part.column(i).to_pylist(), np.int64) for i in range(2))
-            total, down = prefix_hash(data)
             owner, at = np.repeat(owner, count), np.repeat(at, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            whole = mix64((total[at + length] - total[at]) * down[at])
+            whole = span_hashes(data, at, at + length)
             order = np.lexsort((at, owner, ids[owner], whole))
             at, owner, whole = at[order], owner[order], whole[order]
             doc, begin = ids[owner], starts[owner]
@@ -215,7 +238,7 @@ def _hot_out(docs: DataFrame, length: int) -> DataFrame:
                 pa.array([*where, *(at[spans] - begin[spans])[:, None]], pa.list_(pa.int64())), pa.array(np.append(np.ones(lead_n, np.int64), n)), pa.array(np.arange(lead_n + len(spans)) >= lead_n),
             ], ["string", "doc", "mark", "starts", "n", "found"])
 
-    strings = docs.mapInArrow(run, "string binary, doc long, mark long, starts array<long>, n long, found boolean")
+    strings = docs.transform(in_arrow, run, "string binary, doc long, mark long, starts array<long>, n long, found boolean")
     least = F.min("doc").over(Window.partitionBy("string"))
     return strings.withColumn("least", least).where(F.col("found") | (F.col("doc") > F.col("least"))).select("doc", "mark", F.explode("starts").alias("start"), "n")
 
@@ -238,8 +261,7 @@ def _pieces_to_sort(docs: DataFrame, shards: int, length: int) -> DataFrame:
                 continue
             ids = np.array(part.column(0).to_pylist(), np.int64)
             marks = np.array(part.column(1).to_pylist(), np.int64)
-            total, down = prefix_hash(data)
-            whole = mix64((total[at + count + length - 1] - total[at]) * down[at] + count.astype(np.uint64))
+            whole = span_hashes(data, at, at + count + length - 1)
             shard = (mix64(key) % np.uint64(shards)).astype(np.int64)
             order = np.lexsort((ids[owner], whole, shard))
             key, at, count, owner, whole, shard = (x[order] for x in (key, at, count, owner, whole, shard))
@@ -255,10 +277,10 @@ def _pieces_to_sort(docs: DataFrame, shards: int, length: int) -> DataFrame:
                 for some, body in ((go, True), (rest, False)):
                     if len(some):
                         text = b"".join(data[x : x + n + length - 1].tobytes() for x, n in zip(at[some].tolist(), count[some].tolist(), strict=True)) if body else None
-                        rows.append((int(shard[a]), doc[some].tobytes(), marks[owner[some]].tobytes(), (at[some] - begin[some]).astype(np.int32).tobytes(), count[some].astype(np.int32).tobytes(), text))
+                        rows.append((int(shard[a]), _planes(doc[some]), marks[owner[some]].tobytes(), _planes((at[some] - begin[some]).astype(np.int32)), _planes(count[some].astype(np.int32)), text))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], ["shard", "docs", "marks", "starts", "counts", "data"])
 
-    return docs.mapInArrow(run, FOUND)
+    return docs.transform(in_arrow, run, FOUND)
 
 
 def repeated(docs: np.ndarray, counts: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
@@ -300,7 +322,9 @@ def _sorted_out(found: DataFrame, length: int) -> DataFrame:
     """(doc, mark, start, n): stretches of starts whose strings are to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["doc", "mark", "start", "n"], (np.int64, np.int64, np.int32, np.int32)
+        names = ["doc", "mark", "start", "n"]
+        kinds = [lambda x, t=t: _from_planes(x, t) for t in ("<i8", "<i4", "<i4")]
+        kinds.insert(1, lambda x: np.frombuffer(x, np.int64))
 
         def spans(*columns: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names)
@@ -309,10 +333,10 @@ def _sorted_out(found: DataFrame, length: int) -> DataFrame:
             sent = [r for r in rows if r[4].is_valid]
             for row in rows:
                 if not row[4].is_valid:
-                    yield spans(*(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, kinds, strict=False)))
+                    yield spans(*(read(x.as_buffer()) for x, read in zip(row, kinds, strict=False)))
             if not sent:
                 continue
-            docs, marks, starts, counts = (np.concatenate([np.frombuffer(r[i].as_buffer(), kinds[i]) for r in sent]) for i in range(4))
+            docs, marks, starts, counts = (np.concatenate([kinds[i](r[i].as_buffer()) for r in sent]) for i in range(4))
             counts = counts.astype(np.int64)
             data = np.concatenate([np.frombuffer(r[4].as_buffer(), np.uint8) for r in sent])
             if len(np.unique(docs)) < 2:
@@ -320,8 +344,7 @@ def _sorted_out(found: DataFrame, length: int) -> DataFrame:
             # equal pieces of several slices: only the least document's is sorted
             ends = np.cumsum(counts + length - 1)
             begin = ends - counts - length + 1
-            total, down = prefix_hash(data)
-            whole = mix64((total[ends] - total[begin]) * down[begin] + counts.astype(np.uint64))
+            whole = span_hashes(data, begin, ends)
             order = np.lexsort((docs, whole))
             head = np.append(True, np.diff(whole[order]) != 0)
             first = docs[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
@@ -340,7 +363,7 @@ def _sorted_out(found: DataFrame, length: int) -> DataFrame:
                 yield spans(docs[piece[first]], marks[piece[first]], starts[piece[first]] + place[first], np.diff(np.append(edge, len(hit))))
 
     dealt = found.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "doc long, mark long, start long, n long")
+    return dealt.transform(in_arrow, run, "doc long, mark long, start long, n long")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
@@ -350,26 +373,32 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True)
     `length` bytes stay whole. An empty table gives no rows. Other columns are ignored. `length` is GRAM + 8 at least.
     """
     largest = (1 << 63) - 1
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(largest)).alias("doc"), F.xxhash64("text").alias("mark"), F.col("doc_id").isNull().alias("nameless"), "text")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(largest))
+    base = docs.select(doc.alias("doc"), F.xxhash64(doc, "text").alias("mark"), F.col("doc_id").isNull().alias("nameless"), "text")
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     ranges, shards = max(parallel, -(-bytes_ // RANGE_BYTES)), max(2 * parallel, -(-bytes_ // SHARD_BYTES))
     ranges = min(ranges, max(1, bytes_ // (1 << 18)))
     shards = min(shards, max(1, bytes_ // (1 << 14)))
-    keyed = base.select("doc", "mark", "text")
-    shared = _shared(_hashes(keyed, int(ranges), length)).groupBy("doc", "mark").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
-    some = base.join(shared, ["doc", "mark"]).select("doc", "mark", "text", "keys", "hot", "nameless")  # all of base: the last join reuses its shuffle
+    # joins are by mark alone and bring all of base, so that one shuffle of the texts serves them; documents that share a mark are told apart after
+    copies = written(_copies(base), "suffix-copies")
+    told = base.join(copies.hint("merge"), "mark", "left").select(*base.columns, F.coalesce(F.array_contains("copies", F.col("doc")), F.lit(False)).alias("copy"))
+    shared = _shared(_hashes(told.where("NOT copy").select("mark", "text", "doc", "nameless"), int(ranges), length)).groupBy("mark").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
+    some = told.join(shared, "mark").where("NOT copy").select("doc", "mark", "text", "keys", "hot", "nameless")
     gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length).unionByName(_hot_out(some.where("hot"), length))
-    spans = gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = gone.groupBy("mark").agg(F.collect_list(F.struct("doc", "start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b)):
             rows = []
-            for text, spans_ in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, doc_, copy, spans_ in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), batch.column(4), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 removed = runs = 0
-                if spans_.is_valid:
-                    start, n = (spans_.values.field(i).to_numpy() for i in range(2))
+                if copy and len(raw) >= length:
+                    removed, runs, kept = len(raw), 1, b""
+                elif spans_.is_valid:
+                    of, start, n = (spans_.values.field(i).to_numpy() for i in range(3))
+                    start, n = start[of == doc_], n[of == doc_]
                     cover = np.zeros(len(raw) + 1, np.int64)
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + n + length - 1, -1)
@@ -384,5 +413,5 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True)
             made = [pa.array(list(x), t) for x, t in zip(list(zip(*rows, strict=True))[: len(kinds)], kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept])
 
-    whole = base.join(spans, ["doc", "mark"], "left").select(F.when(~F.col("nameless"), F.col("doc")).alias("doc_id"), "text", "spans")
-    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    whole = told.join(spans, "mark", "left").select(F.when(~F.col("nameless"), F.col("doc")).alias("doc_id"), "text", "doc", "copy", "spans")
+    return whole.transform(in_arrow, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
