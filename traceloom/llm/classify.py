@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 #: Bounds of a fit: labelled rows, and characters of their texts, taken in hash order. Scores cover every row.
 FIT_ROWS = 8_000
@@ -77,7 +77,7 @@ def scored(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fie
             got = score(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in got.values())], ["doc_id", *got])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {fields}")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, f"doc_id long, {fields}")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

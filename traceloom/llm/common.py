@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds what a Python worker holds besides its Arrow batch.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +67,17 @@ def only_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with batches of about BATCH_BYTES.
+
+    The bound is a setting of the session, read when the rows are asked for: it is set there, unless the session has one.
+    """
+    conf = df.sparkSession.conf
+    if _BATCH_SETTING not in conf.getAll:
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about `most` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0)
@@ -94,36 +108,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A 64-bit value for each byte, by rule.
-BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-
-
 _FACTORS = mix64(np.arange(901, 903, dtype=np.uint64)) | np.uint64(1)
 #: Masks of the low 0 to 8 bytes.
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LONG_SPAN = 1 << 12
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    inverse = pow(_ODD, -1, 1 << 64)
-    up, down = np.full(n, _ODD, np.uint64), np.full(n, inverse, np.uint64)
-    up[:1], down[:1] = 1, 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-_cached: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(S, D) with (S[e] - S[s]) * D[s] a hash of data[s:e] that depends on its bytes alone."""
-    n = len(data) + 1
-    if not _cached or len(_cached[0][0]) < n:
-        _cached[:] = [powers(max(n, SLICE_BYTES + (SLICE_BYTES >> 2)))]
-    up, down = _cached[0]
-    total = np.zeros(n, np.uint64)
-    np.cumsum(BYTE_CODES[data] * up[: n - 1], out=total[1:])
-    return total, down[:n]
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros beyond the end; one place more than the data has."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
 def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -132,8 +125,7 @@ def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     out = np.empty((2, len(starts)), np.uint64)
     out[0] = mix64(size.astype(np.uint64) + np.uint64(_ODD))
     out[1] = mix64(size.astype(np.uint64) * np.uint64(_ODD) + np.uint64(1))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    eight = eight_bytes(data)
     long = size > LONG_SPAN
     left, at = np.flatnonzero((size > 0) & ~long), 0
     while len(left):
@@ -157,5 +149,5 @@ def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total, down = prefix_hash(data)
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """One hash of each data[s:e], by its bytes alone."""
+    return span_keys(data, starts, ends)[0]

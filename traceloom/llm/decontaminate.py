@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, slices, span_hashes, word_spans
+from .common import in_arrow, joined_bytes, slices, span_hashes, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -180,7 +180,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, las
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     text = "" if last else "text string, "
-    return docs.select(F.col("doc_id").cast("long"), "text", *["matches"] * old).mapInArrow(run, f"doc_id long, {text}n_words long, matches {MATCHES}")
+    return docs.select(F.col("doc_id").cast("long"), "text", *["matches"] * old).transform(in_arrow, run, f"doc_id long, {text}n_words long, matches {MATCHES}")
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
@@ -222,7 +222,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                 clean[[i for i, *_ in _found(search, part.column(part.schema.get_field_index("text")).to_pylist())[1]]] = False
                 yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(in_arrow, run, docs.schema)
     return docs
 
 
@@ -244,5 +244,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
     found = find_matches(docs, benchmark, window, block_bytes).select("doc_id", "n_words", "matches")
-    out = found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = found.transform(in_arrow, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_hit") > 0)

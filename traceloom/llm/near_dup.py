@@ -4,7 +4,7 @@ A document has two small collections of SLOTS band hashes, each of ROWS minhashe
 either collection, so SLOTS**2 tables cost 2 * SLOTS * ROWS minhashes. Documents of equal sets are one class from the
 start. Within a bucket classes are not paired off: all are compared with one centre, the components so far are found, and
 only buckets that still hold several components are looked at again, between the components: small ones pair by pair,
-large ones in blocks whose intersections are matrix products and which return only links that join components. No candidate pair that could join two components goes unexamined.
+large ones, merged where they share their largest component, in blocks whose intersections are matrix products and which return only links that join components. No candidate pair that could join two components goes unexamined.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, mix64, only_result, slices, span_hashes, word_spans, written
+from .common import in_arrow, joined_bytes, mix64, only_result, slices, span_hashes, word_spans, written
 
-SLOTS, ROWS = 12, 3
+SLOTS, ROWS = 16, 4
 #: Rounds of centres before what is left is compared between components.
 ROUNDS = 1
 #: Links of one centre that one task confirms.
@@ -88,21 +88,30 @@ def _signatures(docs: DataFrame, size: int, mark: tuple[str, ...] = ()) -> DataF
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array(bands, pa.list_(pa.int64())), *part.columns[2:]], ["doc_id", "n", "c1", "c2", "bands", *mark])
 
     kept = "".join(f", {name} long" for name in mark)
-    return docs.select(F.col("doc_id").cast("long"), "text", *mark).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bands array<long>" + kept)
+    return docs.select(F.col("doc_id").cast("long"), "text", *mark).transform(in_arrow, run, "doc_id long, n long, c1 long, c2 long, bands array<long>" + kept)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """c1 and the set (binary) of these classes (rep, c1, c2), from the text of each one's representative."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(classes.select("rep", "c1", "c2"), "rep")
+    """c and the set (binary) of these classes (rep, c, c1, c2), from the text of each one's representative."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(classes.select("rep", "c1", "c2", "c"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
             sets = shingle_sets(part.column(1).to_pylist(), size)
             names = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
             right = [i for i, x in enumerate(sets) if class_of(x) == names[i]]  # rows that share a doc_id may differ
-            yield pa.RecordBatch.from_arrays([pa.array([names[i][0] for i in right], pa.int64()), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["c", "members"])
+            yield pa.RecordBatch.from_arrays([part.column(4).take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["c", "members"])
 
-    return texts.mapInArrow(run, "c long, members binary").dropDuplicates(["c"])
+    return texts.transform(in_arrow, run, "c long, members binary").dropDuplicates(["c"])
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Adds c, a class's 64-bit name: c1, or where classes share one, a hash of all 128 bits and the size."""
+    shared = classes.groupBy("c1").agg(F.count("*").alias("times")).where("times > 1").select("c1", F.lit(True).alias("_shared"))
+    if shared.isEmpty():
+        return classes.withColumn("c", F.col("c1"))
+    apart = F.when(F.col("_shared"), F.xxhash64("c1", "c2", "n")).otherwise(F.col("c1"))
+    return written(classes.join(shared, "c1", "left").withColumn("c", apart).drop("_shared"), "nd-numbered")
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
@@ -153,6 +162,21 @@ def block_links(sets: list[np.ndarray], labels: list[int], left: np.ndarray, rig
     return out
 
 
+def _merged(large: DataFrame) -> DataFrame:
+    """Rows (key, c, label, size, most, main) of large buckets, those of one largest component made one bucket where that compares less.
+
+    Members of a group share many buckets, in each of which the same unlinked ones would be held against the same
+    others. A merged bucket holds a superset of the pairs of its buckets, so no candidate goes unexamined.
+    """
+    many, rest = F.col("most"), F.col("size") - F.col("most")
+    apart = large.select("key", "size", "most", "main").distinct().groupBy("main").agg(F.sum((rest * (rest + many)).cast("double")).alias("apart"))
+    members = written(large.select("main", "c", "label").distinct(), "nd-members")
+    sizes = members.groupBy("main").agg(F.count("*").alias("size"), F.count_if(F.col("label") == F.col("main")).alias("most"))
+    better = written(sizes.join(apart, "main").where((rest * F.col("size")).cast("double") <= F.col("apart")).select("main", "size", "most"), "nd-merged")
+    one = members.join(better, "main").select(F.xxhash64(F.lit("merged"), "main").alias("key"), "c", "label", "size", "most", "main")
+    return large.join(better.select("main"), "main", "left_anti").select(*one.columns).unionByName(one)
+
+
 def _linked_in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across the labels of each large bucket. A member goes to each pair of blocks that has its own.
 
@@ -186,7 +210,7 @@ def _linked_in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFra
         if held_:
             yield done()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.transform(in_arrow, run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +239,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.transform(in_arrow, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,15 +307,15 @@ def _components(docs: DataFrame, size: int, percent: int, mark: tuple[str, ...]
     """The signatures of the rows of docs, and the classes (c1, c2, n, rep) of those with shingles and doc_id, with their component's label."""
     signed = written(_signatures(docs, size, mark), "nd-signatures")
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(some.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-classes")
+    classes = _numbered(written(some.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-classes"))
     # a class whose band hashes nobody shares has no partner; only shared ones make keys
-    bands = classes.select(F.col("c1").alias("c"), "n", F.posexplode("bands").alias("slot", "h"))
+    bands = classes.select("c", "n", F.posexplode("bands").alias("slot", "h"))
     shared = bands.groupBy("slot", "h").agg(F.count("*").alias("times")).where("times > 1")
     live = bands.join(shared, ["slot", "h"]).groupBy("c", "n").agg(F.collect_list(F.struct("slot", "h")).alias("held"))  # 2 * SLOTS at most
     pair = F.transform(F.filter("held", lambda x: x["slot"] < SLOTS), lambda x: F.transform(F.filter("held", lambda y: y["slot"] >= SLOTS), lambda y: F.xxhash64(x["slot"], x["h"], y["slot"], y["h"])))
     keys = live.select("c", "n", F.explode(F.flatten(pair)).alias("key"))
     buckets = written(_buckets(keys), "nd-buckets")
-    candidates = classes.join(buckets.select(F.col("c").alias("c1")).distinct(), "c1", "left_semi")
+    candidates = classes.join(buckets.select("c").distinct(), "c", "left_semi")
     sets = written(_sets(docs, candidates, size), "nd-sets", "none")
     links = tried = label = None
     for turn in range(ROUNDS + 1):
@@ -319,9 +343,9 @@ def _components(docs: DataFrame, size: int, percent: int, mark: tuple[str, ...]
         pairs = written(pairs, "nd-pairs")
         found = _confirmed(pairs, sets, percent)
         if turn == ROUNDS:
-            found = found.unionByName(_linked_in_blocks(held.where(F.col("size") > SMALL), sets, percent))
+            found = found.unionByName(_linked_in_blocks(_merged(held.where(F.col("size") > SMALL)), sets, percent))
         found = written(found, "nd-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    return signed, classes.join(label.withColumnRenamed("c", "c1"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
+    return signed, classes.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))

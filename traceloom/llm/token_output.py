@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, shared_dir, slices, span_keys, word_spans
+from .common import in_arrow, joined_bytes, shared_dir, slices, span_keys, word_spans
 
 #: Ids in a word and bits of each, by selector.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240])
@@ -312,7 +312,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bloc
             yield row()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, STORED).write.option("parquet.block.size", 16 << 20).parquet(path)
+    ordered.transform(in_arrow, encode, STORED).write.option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def read_ids(stored: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -330,7 +330,7 @@ def read_ids(stored: DataFrame, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "in_shard", "n_tokens", "ids_crc32", "shard", "ids"][: len(columns)])
 
     fields = "doc_id long, in_shard long, n_tokens long, ids_crc32 long, shard int" + ", ids array<long>" * with_ids
-    rows = stored.select("shard", "first_id", "doc_ids", "payload").mapInArrow(decode, fields)
+    rows = stored.select("shard", "first_id", "doc_ids", "payload").transform(in_arrow, decode, fields)
     sizes = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each file
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard", *["ids"] * with_ids)

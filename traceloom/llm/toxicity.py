@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .classify import isotonic, labelled_sample, scored, sigmoid
-from .common import slices
+from .common import in_arrow, slices
 
 #: Common insults to start from, words of the second person in four languages, characters that stand for letters.
 INSULTS = frozenset("idiot moron stupid dumb loser scum trash pathetic worthless disgusting ugly fool clown jerk hate kill".split())
@@ -206,4 +206,4 @@ def without_toxic(docs: DataFrame, training: DataFrame, cut: float, label: str =
             got = score(part.column(part.schema.get_field_index("text")).to_pylist())["score"]
             yield part.filter(pa.array(got < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
