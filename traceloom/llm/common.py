@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -71,11 +72,27 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """df.mapInArrow, with batches of about BATCH_BYTES.
 
     The bound is a setting of the session, read when the rows are asked for: it is set there, unless the session has one.
+    What run() has freed goes back to the system when a task ends.
     """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
     conf = df.sparkSession.conf
     if _BATCH_SETTING not in conf.getAll:
         conf.set(_BATCH_SETTING, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
+
+
+def released() -> None:
+    """Gives what a Python worker has freed back to the system: workers are kept between tasks, beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

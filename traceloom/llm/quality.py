@@ -20,7 +20,7 @@ from .classify import labelled_sample, scored, sigmoid, temperature
 BUCKETS, DIMS, HIDDEN = 1 << 15, 48, 32
 SEED = 20
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-MEMO = 200_000
+MEMO = 50_000
 #: Rows of marks beside the buckets of words: a word like the one before it, a word in capitals, an empty text.
 REPEAT, UPPER, EMPTY = BUCKETS, BUCKETS + 1, BUCKETS + 2
 

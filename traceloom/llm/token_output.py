@@ -33,7 +33,7 @@ STRIDE = 256
 MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
 #: Pieces that an encoder holds at most (about 40 bytes each), and the bytes of the longest.
-HELD_PIECES = 1 << 20
+HELD_PIECES = 1 << 19
 LONG = 128
 #: What the pre-tokeniser takes a byte for; ODD: not told by the byte alone.
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)

@@ -30,7 +30,7 @@ UPPER = bytes(range(65, 91))
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 NEAR = 6
 PREFIXES = (5, 6, 7)
-MEMO = 200_000
+MEMO = 50_000
 FEATURES = 13
 
 
