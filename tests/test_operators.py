@@ -12,6 +12,7 @@ from traceloom.operators import retrieval as R
 from traceloom.operators import traces as T
 from traceloom.plans import config
 from traceloom.sources import sinks, traces
+from traceloom.sources.traces import labelled_lines
 from traceloom.streaming import assembly
 
 
@@ -22,14 +23,24 @@ def test_compact_keeps_numbers_order_and_repeated_keys():
 
 
 def test_message_text():
-    assert S.message_text('{"response": {"result": "r"}}', S.OUTPUT_KEYS) == "r"
-    assert S.message_text('{"content": {"parts": [{"text": "a"}, {"text": "b", "thought": true}]}}', S.QUESTION_KEYS) == "a"
-    assert S.message_text('{"x": 1}', S.OUTPUT_KEYS) == '{"x": 1}'
-    assert S.message_text("  ", S.OUTPUT_KEYS) == ""
-    assert S.message_text('"q"', S.OUTPUT_KEYS) == "q"
+    assert S.value_text('{"response": {"result": "r"}}', S.OUTPUT_KEYS) == "r"
+    assert S.value_text('{"content": {"parts": [{"text": "a"}, {"text": "b", "thought": true}]}}', S.QUESTION_KEYS) == "a"
+    assert S.value_text('{"x": 1}', S.OUTPUT_KEYS) == '{"x": 1}'
+    assert S.value_text("  ", S.OUTPUT_KEYS) == ""
+    assert S.value_text('"q"', S.OUTPUT_KEYS) == "q"
+    assert S.value_text('{"response": null, "text": "t"}', S.OUTPUT_KEYS) == '{"response": null, "text": "t"}'
+    assert S.value_text('{"output": null, "text": "t"}', S.OUTPUT_KEYS) == ""
+    assert S.value_text('{"response": "r", "result": 3}', S.ANSWER_KEYS) == "r"
+    assert S.value_text('{"broken"', S.ANSWER_KEYS) == '{"broken"'
+    assert S.value_text(" [1] ", S.ANSWER_KEYS) == " [1] "
 
 
-@pytest.mark.parametrize(("raw", "clean"), [("**Final Answer:** Seine.", "Seine"), ("the answer is: 'Paris'", "Paris"), ("U.S.", "U.S."), ("wait..", "wait.."), (None, ""), ("“x”", "x")])
+def test_answer_tokens_beyond_ascii(spark):
+    df = spark.createDataFrame([("The\u00a0cat, a\u2013b the end.",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(S.answer_tokens(df.t)).collect()] == [["cat", "\u2013b", "end"], [], []]
+
+
+@pytest.mark.parametrize(("raw", "clean"), [("**Final Answer:** Seine.", "Seine"), ("the answer is: 'Paris'", "Paris"), ("U.S.", "U.S."), ("wait..", "wait.."), (None, ""), ("“x”", "x"), ("***answer: x", "***answer: x"), ("_The  final\tANSWER is:_ y", "y"), ("theanswer: x", "theanswer: x"), ("answer island", "answer island"), ("answer: is: z", "is: z"), ('""', ""), ("****", "**"), ("`*a*`.", "a"), ("answer", "answer")])
 def test_clean_answer(raw, clean):
     assert S.clean_answer(raw) == clean
 
@@ -173,3 +184,14 @@ def test_sessions_stream(spark, tmp_path):
         assert sorted((r["trace_id"], r["spans"]) for r in spark.table("sessions").collect()) == [("t1", ["a", "b"]), ("t2", ["c"])]
     finally:
         q.stop()
+
+
+def test_labels_of_json_numbers(spark):
+    rows = [(i, '{"question": "q", "final_answer": "a", "label": %s}' % x) for i, x in enumerate(["0.9", "1", "0.5", "0", "true", '"0.9"', '"Right "', "null", "[1]"])]
+    got = {r["trace_id"]: r["label"] for r in labelled_lines(spark.createDataFrame(rows, "line_id long, value string")).collect()}
+    assert [got[f"line-{i}"] for i in range(9)] == ["correct", "correct", "partial", "wrong", None, None, "correct", None, None]
+
+
+def test_idle_sessions_of_any_table(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 10), ("a", 100), ("b", 5)], "k string, s long").selectExpr("k", "timestamp_seconds(s) AS t")
+    assert sorted((r["k"], r["session"]) for r in assembly.idle_sessions(df, "k", "t", 60).collect()) == [("a", 1), ("a", 1), ("a", 2), ("b", 1)]

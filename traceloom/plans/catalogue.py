@@ -87,7 +87,7 @@ _SESS = """s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_
 
 @query(f"WITH {_SESS} SELECT user_id, session, count(*) AS n, count(DISTINCT event_type) AS kinds FROM s GROUP BY user_id, session")
 def session_idle(spark, sf):
-    s = A.idle_sessions(table(spark, sf, "events"), "user_id", "ts", 3600)
+    s = A.idle_sessions(table(spark, sf, "events"), "user_id", "ts", 3600, ("event_id",))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
 
 
@@ -100,7 +100,7 @@ def _spans(spark, sf):
     """Events as spans: a session is a trace, and a view's parent is the event before it."""
     from pyspark.sql import Window
 
-    s = A.idle_sessions(table(spark, sf, "events"), "user_id", "ts", 3600)
+    s = A.idle_sessions(table(spark, sf, "events"), "user_id", "ts", 3600, ("event_id",))
     order = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")
     kind = F.when(F.col("event_type") == "click", "AGENT").when(F.col("event_type") == "view", "CHAIN").otherwise("TOOL")
     return s.select(F.concat_ws("-", "user_id", "session").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.when(F.col("event_type") == "view", F.lag("event_id").over(order).cast("string")).alias("parent_span_id"), F.col("event_type").alias("name"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start_unix_nano"), F.create_map(F.lit("openinference.span.kind"), kind).alias("attributes"), F.col("event_id").alias("arrival_seq"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from ..functions import scalars as S
 from ..operators.labels import label_column
 from ..operators.traces import TOOL_CALLS
 
@@ -60,11 +61,15 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     flat = ", ".join(f"`{n}` string" for n in (*names, *PLAIN)) + ", `used_search` boolean, " + ", ".join(f"`{n}` array<string>" for n in ALIASES["evidence"])
     rows = rows.withColumn("r", F.from_json("value", flat)).withColumn("c", read_calls("value"))
     pick = lambda field: F.coalesce(*[F.col(f"r.{n}") for n in ALIASES[field]])
-    whole = F.try_parse_json("value").isNotNull()
+    parsed = F.try_parse_json("value")
+    whole = parsed.isNotNull()
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.label", "variant"))  # only what is a number in JSON is a score
+    scored = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), S.label_of_score(F.col("r.label").try_cast("double")))
+    label = F.coalesce(scored, label_column(F.when(kind == "STRING", F.col("r.label")), pick("final_answer"), pick("reference")))
     out = rows.select(
         F.coalesce("r.trace_id", F.concat(F.lit("line-"), F.col("line_id").cast("string"))).alias("trace_id"), F.lit(None).cast("string").alias("agent"), pick("question").alias("question"),
         F.col("c.calls").cast(TOOL_CALLS).alias("tool_calls"), F.coalesce(pick("evidence"), F.array().cast("array<string>")).alias("evidence"), pick("final_answer").alias("final_answer"),
-        label_column(F.col("r.label"), pick("final_answer"), pick("reference")).alias("label"), "r.qid", "r.split", "r.used_search", "r.stop_reason", "r.failure_type", F.col("c.bad").alias("_bad"), whole.alias("_json"),
+        label.alias("label"), "r.qid", "r.split", "r.used_search", "r.stop_reason", "r.failure_type", F.col("c.bad").alias("_bad"), whole.alias("_json"),
     )
     reason = F.when(~F.col("_json"), "not JSON").when(F.col("question").isNull(), "missing question").when(F.col("final_answer").isNull(), "missing final_answer").when(F.col("label").isNull(), "no readable label or reference").when(F.col("_bad"), "a tool call without a name")
     return out.withColumn("reason", reason).drop("_bad", "_json")

@@ -53,9 +53,12 @@ def assembled(stream: DataFrame, idle_ms: int = IDLE_MS, wait_ms: int = WAIT_MS)
     return stream.groupBy("trace_id").transformWithStateInPandas(statefulProcessor=Sessions(idle_ms, wait_ms), outputStructType=SESSION, outputMode="append", timeMode="processingTime")
 
 
-def idle_sessions(df: DataFrame, key: str, at: str, idle_s: float) -> DataFrame:
-    """df with `session`, 1 and up within a key: a gap of idle_s seconds or more begins one."""
-    order = Window.partitionBy(key).orderBy(at, "event_id")
+def idle_sessions(df: DataFrame, key: str, at: str, idle_s: float, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with `session`, 1 and up within a key: a gap of idle_s seconds or more begins one. ties: columns that order equal times.
+
+    A key's arrivals are ordered in one task, as each session's place depends on all before it.
+    """
+    order = Window.partitionBy(key).orderBy(at, *ties)
     gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(order).cast("timestamp"))
     start = F.when(gap.isNull() | (gap >= int(idle_s * 1e6)), 1).otherwise(0)
     return df.withColumn("_s", start).withColumn("session", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
