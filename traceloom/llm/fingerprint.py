@@ -76,16 +76,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(estimate)
 
 
+def _constants(values: list, kind: str) -> Column:
+    """An array that the optimizer folds to one constant; a literal of each value would take a call each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def in_rings(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with bucket and ghost: stretches of descending doc_id, each closed by the first row of the next.
 
-    Buckets hold about BUCKET_CHARS characters; they are found from counts by cell of doc_id, CELLS rows at most, whatever
-    the table's size. The last bucket's ghost is the first row of all. Null doc_ids come last.
+    Buckets hold about BUCKET_CHARS characters; they are found from counts by cell of doc_id, CELLS at most, which are cut at
+    approximate quantiles, so that outlying ids leave the others apart. The last bucket's ghost is the first row of all. Null doc_ids come last.
     """
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, wide = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // CELLS))
+    shares = _constants([k / CELLS for k in range(CELLS)], "double")
+    marks = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 4 * CELLS)).first()[0] or [0]))
     parallel = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(wide)), F.lit(-1)).cast("int")
+    bounds = _constants(marks, "bigint")
+    steps = [1 << k for k in reversed(range(len(marks).bit_length()))]
+    # binary search: how many marks aren't above doc_id
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+    cell = F.when(F.col("doc_id").isNull(), -1).otherwise(below).cast("int")
     counts = docs.groupBy(cell.alias("cell")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.max("doc_id").alias("top"))
     everything = Window.partitionBy(F.lit(0))
     falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
