@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
-from traceloom.llm import classify, common, decontaminate, fingerprint, induced, langid, mixing, near_dup, quality, suffix_dedup, token_output, toxicity
+from traceloom.llm import classify, common, decontaminate, fingerprint, induced, langid, mixing, near_dup, quality, queries, suffix_dedup, token_output, toxicity
 from traceloom.llm.queries import tokenizer_path
 
 RNG = random.Random(5)
@@ -350,3 +352,68 @@ def test_line_dedup(docs, monkeypatch):
     same = line_dedup.line_deduplicated(docs([(5, "a\nb\nc"), (5, "a\nb\nc"), (6, "z\na\nb\nc")])).collect()
     assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in same) == [(5, 0, "a\nb\nc"), (5, 0, "a\nb\nc"), (6, 3, "z")]
     assert line_dedup.line_deduplicated(docs([])).count() == 0
+
+
+def test_fingerprint_rings_of_wide_ids(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c d e f " * 40).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(-(2**63), "low"), (2**63 - 1, "high"), (None, None)], "doc_id long, text string"))
+    sizes = [r["count"] for r in fingerprint.in_rings(rows).where("NOT ghost").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 3003 and max(sizes) < 1000
+    out = {r.doc_id: r for r in fingerprint.edited_fingerprints(rows).collect()}
+    assert len(out) == 3003
+    assert out[2**63 - 1].edited_sha256 == hashlib.sha256(b"higa").hexdigest()
+    assert fingerprint.edited_fingerprints(rows.limit(0)).collect() == []
+
+
+def _brute_hits(items, text, window=10):
+    words, hit, names = decontaminate.words_of(text), set(), set()
+    for name, item in items:
+        item = decontaminate.words_of(item)
+        n = min(window, len(item))
+        for k in range(len(item) - n + 1 if n else 0):
+            for p in range(len(words) - n + 1):
+                if words[p : p + n] == item[k : k + n]:
+                    hit |= set(range(p, p + n))
+                    names.add(name)
+    return hit, names
+
+
+def test_decontaminate_repeated_words_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(100):
+        letters = "abc"[: rng.randint(1, 3)]
+        items = [(str(k), " ".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(rng.randint(0, 6))]
+        texts = [" ".join(rng.choice(letters + "z") for _ in range(rng.choice([0, 1, 5, 12, 60]))) for _ in range(4)] + [None]
+        search = decontaminate.Searcher([(a, decontaminate.words_of(b)) for a, b in items])
+        _, found = decontaminate._found(search, texts)
+        for i, text in enumerate(texts):
+            runs, heads = found.get(i, ([], []))
+            assert ({x for p, n in runs for x in range(p, p + n)}, {search.names[int(search.item[s])] for _, s, _ in heads}) == _brute_hits(items, text)
+
+
+def test_decontaminate_is_linear_in_a_repeated_word():
+    search = decontaminate.Searcher([("a", [b"x"] * 1600)])
+    began = time.time()
+    assert decontaminate._found(search, ["x " * 3200])[1] == {0: ([(0, 3200)], [(0, 0, 1600)])}
+    assert time.time() - began < 5
+
+
+def test_decontaminate_many_blocks(spark):
+    items = [(f"i{k}", f"only{k} words{k} here{k}") for k in range(5)] + [(None, "null item name"), ("empty", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x only1 words1 here1 only3 words3 here3"), (1, "clean"), (None, "null item name"), (4, None)], "doc_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.decontaminated(docs, bench, block_bytes=b).collect()), key=str) for b in (1 << 20, 1))
+    assert one == many
+    assert {r[0:4] for r in one} == {(1, 7, 6, 2), (1, 1, 0, 0), (None, 3, 3, 0), (4, 0, 0, 0)}
+    assert sorted(r.text or "" for r in decontaminate.remove_contaminated(docs, bench, block_bytes=1).collect()) == ["", "clean"]
+
+
+@pytest.mark.parametrize("name", ["op8_decontaminate", "op9_suffix_dedup", "op10_near_dup"])
+def test_query_agrees_with_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)

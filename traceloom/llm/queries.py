@@ -153,4 +153,73 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every run of as many words as an item's window, compared as lists.
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item_id, ws, least(len(ws), 10) AS n
+  FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0
+), bw AS (
+  SELECT DISTINCT item_id, n, list_slice(ws, p, p + n - 1) AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS p FROM b)
+), dw AS (
+  SELECT doc_id, n, p, list_slice(ws, p, p + n - 1) AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM b) WHERE len(ws) >= n)
+), h AS (
+  SELECT doc_id, n, p, win FROM dw WHERE win IN (SELECT win FROM bw)
+), c AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM h) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM h JOIN bw USING (win)) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
+
+#: Every 50-byte string as a blob; what is kept is put together in hexadecimal, two digits a byte.
+OP9_SQL = r"""
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS e, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), s AS (
+  SELECT doc_id, p, e[p + 1:p + 50] AS k FROM (SELECT doc_id, e, unnest(range(0, n - 49)) AS p FROM t WHERE n >= 50)
+), f AS (SELECT k, min(doc_id) AS first_id FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, p FROM s JOIN f USING (k) WHERE first_id < doc_id),
+e AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS begins FROM r
+), g AS (SELECT doc_id, p, sum(begins) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM e),
+m AS (SELECT doc_id, min(p) AS low, max(p) + 50 AS high FROM g GROUP BY doc_id, run),
+k AS (
+  SELECT m.doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY m.doc_id ORDER BY low), 0) AS previous, h, n FROM m JOIN t ON m.doc_id = t.doc_id
+), o AS (
+  SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * previous + 1, 2 * (low - previous)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS kept
+  FROM k GROUP BY doc_id
+)
+SELECT t.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN o ON t.doc_id = o.doc_id
+"""
+
+#: All pairs of sets that share a shingle; links are followed until nothing more is reached.
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS sh FROM d
+), x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM p UNION SELECT reach.doc_id, p.b FROM reach JOIN p ON reach.other = p.a
+), least_id AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(other, s.doc_id)) AS component_id,
+  s.doc_id = least(s.doc_id, coalesce(other, s.doc_id)) AS kept
+FROM s LEFT JOIN least_id ON s.doc_id = least_id.doc_id
+"""
+
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_near_dup": OP10_SQL}
