@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom.functions import scalars as S
 from traceloom.operators import evaluate as E
@@ -195,3 +196,25 @@ def test_labels_of_json_numbers(spark):
 def test_idle_sessions_of_any_table(spark):
     df = spark.createDataFrame([("a", 0), ("a", 10), ("a", 100), ("b", 5)], "k string, s long").selectExpr("k", "timestamp_seconds(s) AS t")
     assert sorted((r["k"], r["session"]) for r in assembly.idle_sessions(df, "k", "t", 60).collect()) == [("a", 1), ("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_arrival_of_late_partitions_and_scopes(spark):
+    scope = lambda *names: {"spans": [{"traceId": "t", "spanId": n, "name": n} for n in names]}
+    line = json.dumps({"resourceSpans": [{"scopeSpans": [scope("a", "b"), scope("c")]}, {"scopeSpans": [scope("d")]}]})
+    rows = spark.createDataFrame([((1 << 62) + 1, line), (0, line)], "line_id long, value string")
+    found = traces.otlp_spans(rows).orderBy("arrival_seq").collect()
+    assert [r.span_id for r in found] == list("abcd") * 2 and len({r.arrival_seq for r in found}) == 8
+
+
+def test_pick_keys_is_the_head_of_the_order(spark):
+    keys = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    order = [r.k for r in keys.orderBy(S.hash_order("s", F.col("k"))).collect()]
+    for fraction in (0.0, 0.2, 0.333, 1.0):
+        assert {r.k for r in L.pick_keys(keys, "k", fraction, "s").collect()} == set(order[: round(500 * fraction)])
+    assert L.pick_keys(keys.limit(0), "k", 0.5, "s").collect() == []
+
+
+def test_lookup_ignores_null_titles_and_finds_folded_lengths(spark):
+    p = spark.createDataFrame([(None,), ("Gro\u00dfe Stra\u00dfe",), ("x",)], "title string")
+    w = spark.createDataFrame([(None,), ("grosse strase",), ("zzzz",)], "title string")
+    assert [tuple(r) for r in R.lookup(p, w).collect()] == [("grosse strase", "Gro\u00dfe Stra\u00dfe", "similar")]

@@ -39,12 +39,24 @@ def join_counts(traces: DataFrame, verdicts: DataFrame) -> DataFrame:
 def pick_keys(keys: DataFrame, key: str, fraction: float, seed: str, floor: bool = False) -> DataFrame:
     """round-half-even(n * fraction) (or its floor) of the distinct keys, in the order of a seeded hash.
 
-    The count comes from one aggregate and the keys from an ordered limit, so no key set passes through one task.
+    Keys are counted by the first four digits of their hashes, 65,536 rows at most. All keys below the prefix in which the
+    last one falls are taken as they are; only that prefix's are ordered.
     """
-    distinct = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    n = distinct.count() * fraction
-    take = int(n) if floor else round(n)
-    return distinct.orderBy(S.hash_order(seed, F.col(key)), key).limit(take)
+    order = S.hash_order(seed, F.col(key))
+    distinct = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", order).withColumn("_p", F.substring("_h", 1, 4))
+    counts = sorted(map(tuple, distinct.groupBy("_p").count().collect()))
+    n = sum(c for _, c in counts) * fraction
+    left = int(n) if floor else round(n)
+    edge = ""
+    for prefix, count in counts:
+        edge = prefix
+        if count >= left:
+            break
+        left -= count
+    else:
+        return distinct.select(key)
+    last = distinct.where(F.col("_p") == edge).orderBy("_h", key).limit(left)
+    return distinct.where(F.col("_p") < edge).unionByName(last).select(key)
 
 
 def split(traces: DataFrame, key: str, heldout: float = 0.2, calibration: float = 0.5, seed: str = "7") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_order, run_key, similarity, uniform
+from ..functions.scalars import folded_length, hash_order, run_key, similarity, uniform
 
 K1, B = 1.5, 0.75
 
@@ -36,8 +36,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 3, doc: str = "doc_id", q
 def lookup(paragraphs: DataFrame, wanted: DataFrame, least: float = 0.6) -> DataFrame:
     """wanted title, found title, how: exact, else ignoring case, else the most similar of at least `least`.
 
-    The first two are equi-joins; only what is left (a query set) meets the titles one by one.
+    The first two are equi-joins. What is left is joined to the titles whose length lets them be as similar: of T characters
+    in both, the shorter's twice is at least `least` (above 0) of T. Null titles are found by none.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     titles = paragraphs.select("title").distinct()
     w = wanted.select(F.col("title").alias("wanted")).distinct()
     exact = w.join(titles, w["wanted"] == titles["title"]).select("wanted", F.col("title").alias("found"), F.lit("exact").alias("how"))
@@ -45,7 +48,9 @@ def lookup(paragraphs: DataFrame, wanted: DataFrame, least: float = 0.6) -> Data
     folded = titles.groupBy(F.lower("title").alias("key")).agg(F.min("title").alias("found"))
     case = rest.withColumn("key", F.lower("wanted")).join(folded, "key").select("wanted", "found", F.lit("case").alias("how"))
     rest = rest.join(case, "wanted", "left_anti")
-    near = rest.crossJoin(titles).withColumn("s", similarity("wanted", "title")).where(F.col("s") >= least)
+    low, high = F.ceil(F.col("n") * least / (2 - least) - 1e-6), F.floor(F.col("n") * (2 - least) / least + 1e-6)
+    rest = rest.where("wanted IS NOT NULL").withColumn("n", folded_length("wanted")).withColumn("length", F.explode(F.sequence(low, high)))
+    near = rest.join(titles.where("title IS NOT NULL").withColumn("length", folded_length("title")), "length").withColumn("s", similarity("wanted", "title")).where(F.col("s") >= least)
     best = near.groupBy("wanted").agg(F.max_by("title", F.struct("s", "title")).alias("found")).withColumn("how", F.lit("similar"))
     return exact.unionByName(case).unionByName(best)
 

@@ -108,7 +108,7 @@ def assemble(spans: DataFrame, agent_keys: tuple[str, ...] = ("agent.name", "ser
     args = F.when(is_json(given), given).when(is_json(declared), declared).when(given != "", F.to_json(F.struct(given.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(given.alias("x")))) - 6))
     seen = F.struct("start_unix_nano", "arrival_seq", F.coalesce(F.nullif(_attr("tool.name"), F.lit("")), "name").alias("name"), args.alias("args_json"), status.alias("status"), F.when((kind == "TOOL") & (status == "ok"), output).alias("output"), kind.alias("kind"), F.col("attributes"))
     parts = spans.where(kind.isin("TOOL", "RETRIEVER")).groupBy("trace_id").agg(F.array_sort(F.collect_list(seen), _by_start).alias("parts"))
-    df = root.join(parts, "trace_id", "left").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<start_unix_nano:bigint,arrival_seq:bigint,name:string,args_json:string,status:string,output:string,kind:string,attributes:map<string,string>>>)")))
+    df = root.join(parts, "trace_id", "left").withColumn("parts", F.coalesce("parts", F.expr(f"cast(array() as array<struct<start_unix_nano:bigint,arrival_seq:{spans.schema['arrival_seq'].dataType.simpleString()},name:string,args_json:string,status:string,output:string,kind:string,attributes:map<string,string>>>)")))
 
     def indexed(attributes: Column, prefix: str, suffix: str = "") -> Column:
         """Attributes prefix + 0, 1, ... + suffix until one is missing."""

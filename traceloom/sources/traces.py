@@ -105,15 +105,20 @@ def _map(pairs: Column) -> Column:
 
 
 def otlp_spans(lines: DataFrame) -> DataFrame:
-    """Flat spans of OTLP JSON lines (line_id, value), camelCase or snake_case."""
+    """Flat spans of OTLP JSON lines (line_id, value), camelCase or snake_case.
+
+    arrival_seq orders by line, then by place in the line: up to 10**5 resources, 10**5 scopes of each and 10**8 spans of
+    each of those. It is a decimal, as line_id may take all 63 bits.
+    """
     both = lambda a, b: F.coalesce(F.col(a), F.col(b))
-    df = lines.withColumn("j", F.from_json("value", OTLP)).select("line_id", F.explode(both("j.resourceSpans", "j.resource_spans")).alias("rs"))
-    df = df.select("line_id", _map(F.col("rs.resource.attributes")).alias("resource_attributes"), F.explode(both("rs.scopeSpans", "rs.scope_spans")).alias("ss"))
-    df = df.select("line_id", "resource_attributes", F.posexplode("ss.spans").alias("at", "s"))
+    df = lines.withColumn("j", F.from_json("value", OTLP)).select("line_id", F.posexplode(both("j.resourceSpans", "j.resource_spans")).alias("rs_at", "rs"))
+    df = df.select("line_id", "rs_at", _map(F.col("rs.resource.attributes")).alias("resource_attributes"), F.posexplode(both("rs.scopeSpans", "rs.scope_spans")).alias("ss_at", "ss"))
+    df = df.select("line_id", "rs_at", "ss_at", "resource_attributes", F.posexplode("ss.spans").alias("at", "s"))
+    place = F.col("rs_at").cast("long") * F.lit(10**13) + F.col("ss_at").cast("long") * F.lit(10**8) + F.col("at")
     return df.select(
         F.lower(both("s.traceId", "s.trace_id")).alias("trace_id"), F.lower(both("s.spanId", "s.span_id")).alias("span_id"), F.nullif(F.lower(both("s.parentSpanId", "s.parent_span_id")), F.lit("")).alias("parent_span_id"),
         "s.name", F.coalesce(both("s.startTimeUnixNano", "s.start_time_unix_nano").cast("long"), F.lit(0)).alias("start_unix_nano"), F.col("s.status.code").alias("status_code"), _map(F.col("s.attributes")).alias("attributes"),
-        "resource_attributes", (F.col("line_id") * F.lit(1 << 20) + F.col("at")).alias("arrival_seq"),
+        "resource_attributes", (F.col("line_id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + place).alias("arrival_seq"),
     )
 
 
