@@ -33,9 +33,11 @@ def row_hashes(columns: list[str]) -> tuple[Column, Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode a fresh temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="traceloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
