@@ -6,10 +6,12 @@ distinct scores, pre-aggregated, so a window sees a group's distinct values rath
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calibrate, hash_order
+from ..functions.scalars import calibrate, hash_order, uniform
 
 #: Edges of ten bins as doubles (0, 0.1, ... as sums of tenths give them).
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -96,24 +98,86 @@ def fit_temperature(scores: DataFrame, by: list[str], low: float = 0.05, high: f
     return scores.sparkSession.createDataFrame(rows, StructType([*fields, StructField("temperature", DoubleType()), StructField("at_bound", BooleanType())]))
 
 
+def _drawn(scores: DataFrame, key: str, resamples: int, seed: str) -> DataFrame:
+    """scores for each resample with w, a Poisson(1) weight by a hash of resample and key: the same for all groups of a key."""
+    drawn = scores.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    u = uniform(seed, F.concat_ws("|", F.col("resample").cast("string"), F.col(key).cast("string")))
+    return drawn.withColumn("_u", u).withColumn("w", sum((F.col("_u") >= F.lit(s)).cast("int") for s in POISSON_STEPS)).where("w > 0").drop("_u")
+
+
+#: Where a Poisson(1) weight goes up by one, on the unit interval, up to eight.
+POISSON_STEPS = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
 def bootstrap_auroc(scores: DataFrame, by: list[str], key: str, resamples: int = 200, seed: str = "b") -> DataFrame:
     """by, auroc, low, high: a 95 % interval over resamples with Poisson(1) weights, shared by all groups of a key."""
-    number = F.explode(F.sequence(F.lit(1), F.lit(resamples)))
-    drawn = scores.withColumn("resample", number)
-    u = F.pmod(F.xxhash64(F.lit(seed), "resample", key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    steps, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(1, 9):
-        total += term
-        steps.append(total)
-        term /= k
-    drawn = drawn.withColumn("w", sum((u >= F.lit(s)).cast("int") for s in steps)).where("w > 0")
-    values = auroc(drawn, [*by, "resample"], weight="w")
+    values = auroc(_drawn(scores, key, resamples, seed), [*by, "resample"], weight="w")
     spread = values.groupBy(*by).agg(F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     whole = auroc(scores, by)
     spread = spread.select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     return whole.join(spread, by) if by else whole.crossJoin(F.broadcast(spread))
 
 
+def paired_bootstrap(scores: DataFrame, model: str, key: str, resamples: int = 200, seed: str = "b") -> DataFrame:
+    """a, b, diff, low, high, differs: the difference of two models' AUROCs, its 95 % interval over shared resamples, and
+    whether that leaves out 0. Models are few."""
+    drawn = auroc(_drawn(scores, key, resamples, seed), [model, "resample"], weight="w")
+    a, b = (drawn.select(F.col(model).alias(x), "resample", F.col("auroc").alias(f"v{x}")) for x in "ab")
+    spread = a.join(b, "resample").where("a < b").groupBy("a", "b").agg(F.percentile(F.col("va") - F.col("vb"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    whole = auroc(scores, [model])
+    wa, wb = (whole.select(F.col(model).alias(x), F.col("auroc").alias(f"w{x}")) for x in "ab")
+    out = spread.join(F.broadcast(wa), "a").join(F.broadcast(wb), "b")
+    low, high = F.col("q")[0], F.col("q")[1]
+    return out.select("a", "b", (F.col("wa") - F.col("wb")).alias("diff"), low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("differs"))
+
+
+def auroc_by_failure(scores: DataFrame, by: list[str], kind: str, p: str = "p", y: str = "y") -> DataFrame:
+    """by, kind, n, auroc: the positives of each kind against all negatives of the group, ties averaged. Null kinds are one kind.
+
+    Only distinct scores are repeated for each kind, and kinds are few.
+    """
+    wrong = scores.where(F.col(y)).groupBy(*by, kind, p).agg(F.count("*").alias("w")).withColumn(y, F.lit(True))
+    right = scores.where(~F.col(y)).groupBy(*by, p).agg(F.count("*").alias("w"))
+    kinds = wrong.groupBy(*by, kind).agg(F.sum("w").alias("n"))
+    right = right.join(F.broadcast(kinds), by) if by else right.crossJoin(F.broadcast(kinds))
+    both = wrong.unionByName(right.withColumn(y, F.lit(False)).drop("n"))
+    values = auroc(both, [*by, kind], p, y, "w")
+    same = [values[c].eqNullSafe(kinds[c]) for c in (*by, kind)]
+    return values.join(F.broadcast(kinds), same).select(*[values[c] for c in (*by, kind)], "n", "auroc")
+
+
+def evaluated(scores: DataFrame, by: list[str], key: str, base_rates: list[float], rates: list[float], resamples: int, seed: str = "r") -> DataFrame:
+    """The results table: by, base_rate, sample_rate, auroc_full_test and means and spreads of recall on rebalanced sets.
+
+    scores has a row for each of `by` (model, signal) and key. All are measured on the same sets, drawn once from the keys.
+    """
+    truth = scores.groupBy(key).agg(F.first("y").alias("y"))
+    sets = rebalanced(truth, base_rates, resamples, key, seed=seed).drop("y")
+    runs = sampler_metrics(scores.join(sets, key), [*by, "base_rate", "resample"], rates).withColumnRenamed("rate", "sample_rate")
+    out = runs.groupBy(*by, "base_rate", "sample_rate").agg(
+        F.avg("recall").alias("recall_mean"), F.stddev_pop("recall").alias("recall_std"), F.avg("random").alias("random_recall"), F.avg("oracle").alias("oracle_recall"),
+        F.avg("normalized").alias("norm_recall_mean"), F.stddev_pop("normalized").alias("norm_recall_std"),
+    )
+    return out.join(F.broadcast(auroc(scores, by).withColumnRenamed("auroc", "auroc_full_test")), by)
+
+
+def in_order(results: DataFrame) -> DataFrame:
+    """Results as they are shown: by base rate, sample rate, model, signal."""
+    return results.orderBy("base_rate", "sample_rate", "model", "signal")
+
+
+def not_better(results: DataFrame, model: str, others: list[str], value: str = "norm_recall_mean") -> DataFrame:
+    """other, behind: the base rates, in order, at which `model` does no better than another. Those it beats everywhere have no row."""
+    one = results.where(F.col("model") == model).select("base_rate", F.col(value).alias("_v"))
+    rest = results.where(F.col("model").isin(others)).select(F.col("model").alias("other"), "base_rate", F.col(value).alias("_o"))
+    return rest.join(F.broadcast(one), "base_rate").where("_v <= _o").groupBy("other").agg(F.array_sort(F.collect_set("base_rate")).alias("behind"))
+
+
+def rule_means(df: DataFrame, rules: list[str], y: str = "y") -> DataFrame:
+    """The mean of each rule in each class."""
+    return df.groupBy(y).agg(*[F.avg(r).alias(r) for r in rules])
+
+
 def paired_difference(metrics: DataFrame, model: str, at: list[str], value: str) -> DataFrame:
     """a, b, mean, std, wins of value(a) - value(b) over what two models share; a and b in order. Models are few."""
     a = metrics.select(F.col(model).alias("a"), *at, F.col(value).alias("va"))

@@ -23,6 +23,24 @@ def latest_verdicts(annotations: DataFrame, name: str, spans: DataFrame | None =
     return found.groupBy("trace_id").agg(F.max_by("verdict", F.struct("at", "seq")).alias("verdict"))
 
 
+def all_annotations(spans: DataFrame, traces: DataFrame) -> DataFrame:
+    """Annotations of spans, then those of traces, as one table; seq becomes (0 or 1, seq), so that order stands in ties."""
+    ranked = lambda df, k: df.withColumn("seq", F.struct(F.lit(k).alias("rank"), F.col("seq").cast("long").alias("seq")))
+    return ranked(spans, 0).unionByName(ranked(traces, 1), allowMissingColumns=True)
+
+
+def unknown_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """column, n: values outside the allowed ones, null among them."""
+    return df.where(F.col(column).isNull() | ~F.col(column).isin(allowed)).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def against_manifest(report: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """portion, traces, expected of portions whose count differs from what the manifest says; 0 where one side lacks it."""
+    wanted = report.sparkSession.createDataFrame(list(expected.items()), "portion string, expected long")
+    both = report.select("portion", "traces").join(wanted, "portion", "full").fillna(0, ["traces", "expected"])
+    return both.where("traces <> expected")
+
+
 def labelled(traces: DataFrame, verdicts: DataFrame) -> DataFrame:
     return traces.join(verdicts.withColumnRenamed("verdict", "label"), "trace_id")
 

@@ -57,3 +57,35 @@ def write_report(results: DataFrame, path: str, manifest: dict) -> None:
     """results.csv beside manifest.json, as Spark writes them; both are small."""
     results.coalesce(1).write.option("header", True).csv(f"{path}/results")
     results.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
+
+
+def decision_lines(decisions: DataFrame) -> DataFrame:
+    """A JSON line for each decision, for a log; absent values are left out."""
+    names = [c for c in ("trace_id", "agent", "model", "reason", "severity", "p_keep", "latency_ms") if c in decisions.columns]
+    return decisions.select(F.to_json(F.struct(F.when(F.col("keep"), "keep").otherwise("drop").alias("decision"), *names)).alias("value"))
+
+
+def dataset_lines(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows as JSON lines with the columns of `keep` alone, in that order; a null stands as null, a column that is missing is an error."""
+    return rows.select(F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Finished runs (error null) to path/runs and failed ones to path/errors. A run_key that path/runs has isn't written again."""
+    spark, log = runs.sparkSession, f"{path}/runs"
+    done = runs.where("error IS NULL").drop("error").dropDuplicates(["run_key"])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        done = done.join(spark.read.parquet(log).select("run_key"), "run_key", "left_anti")
+    done.write.mode("append").parquet(log)
+    runs.where("error IS NOT NULL").select("run_key", "error").write.mode("append").parquet(f"{path}/errors")
+
+
+def write_comparison(path: str, comparison: dict, tables: dict[str, DataFrame]) -> None:
+    """A comparison of models: each table (results, summary, head_to_head: models x rates, small) as CSV, and all of it as one JSON text."""
+    spark = next(iter(tables.values())).sparkSession
+    every = dict(comparison)
+    for name, df in tables.items():
+        df.coalesce(1).write.option("header", True).csv(f"{path}/{name}")
+        every[name] = [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).collect()]
+    spark.createDataFrame([(json.dumps(every),)], "value string").coalesce(1).write.text(f"{path}/comparison")

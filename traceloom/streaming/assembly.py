@@ -116,3 +116,45 @@ def deliver_batch(send, retry_path: str, dead_path: str):
         done.unpersist()
 
     return each
+
+
+#: Traces that may wait for a worker.
+WAITING = 100_000
+
+
+def publish(messages: DataFrame, held: DataFrame, bound: int = WAITING) -> DataFrame:
+    """messages (trace_id, last_seq, at, ...) with message_id and outcome: queued, repeated or full.
+
+    A message is known by trace and last span, so one that is sent again, in this batch or while `held` (message_id) has it,
+    is repeated. Of the rest as many as there are places are queued, by `at`, then id; others are full and are to come again.
+    `bound` limits what one task orders.
+    """
+    tagged = messages.withColumn("message_id", F.concat_ws(":", "trace_id", F.col("last_seq").cast("string")))
+    first = tagged.groupBy("message_id").agg(F.min("at").alias("at")).join(held.select("message_id"), "message_id", "left_anti")
+    places = max(0, bound - held.count())
+    queued = first.orderBy("at", "message_id").limit(places).select("message_id", F.lit("queued").alias("_o"))
+    left = first.select("message_id", F.lit(True).alias("_new"))
+    order = Window.partitionBy("message_id").orderBy("at")
+    out = tagged.join(left, "message_id", "left").join(F.broadcast(queued), "message_id", "left").withColumn("_n", F.row_number().over(order))
+    outcome = F.when(F.col("_new").isNull() | ((F.col("_n") > 1) & F.col("_o").isNotNull()), "repeated").otherwise(F.coalesce("_o", F.lit("full")))
+    return out.withColumn("outcome", outcome).drop("_new", "_o", "_n")
+
+
+def depth(messages: DataFrame) -> DataFrame:
+    """queue, depth: messages neither acknowledged nor dead, whether waiting or out with a worker."""
+    return messages.where("state IN ('pending', 'delivered')").groupBy("queue").agg(F.count("*").alias("depth"))
+
+
+def drained(query, seconds: float = 30.0) -> bool:
+    """Waits until a streaming query has taken all that its source holds, then stops it; False if the time runs out.
+
+    What was taken is in its checkpoint, so stopping counts no attempt against a message."""
+    import time
+
+    until = time.monotonic() + seconds
+    while time.monotonic() < until and query.isActive:
+        if not query.status["isDataAvailable"] and not query.status["isTriggerActive"] and query.lastProgress is not None:
+            query.stop()
+            return True
+        time.sleep(0.2)
+    return False
