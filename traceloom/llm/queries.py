@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import round_trip
 from .classify import fold
 from .common import table
 from .decontaminate import decontaminated
@@ -21,15 +22,16 @@ from .token_output import token_output
 from .toxicity import toxicity_scores
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
 #: Scores from here on count as label 1.
 CUT = 0.3
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir), with_kept=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), tokenizer_path(RANKS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dup": op10_near_dup,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 #: By brute force: the whole line of copies in one window.
 OP5_SQL = r"""
