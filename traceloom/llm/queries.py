@@ -11,6 +11,7 @@ from .byte_bpe import round_trip
 from .classify import fold
 from .common import table
 from .decontaminate import decontaminated
+from .filter_audit import filter_audit
 from .fingerprint import edited_fingerprints
 from .langid import languages
 from .line_dedup import line_deduplicated
@@ -95,6 +96,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), tokenizer_path(RANKS))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dup": op10_near_dup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
 }
 #: By brute force: the whole line of copies in one window.
 OP5_SQL = r"""
@@ -229,4 +235,38 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(other,
 FROM s LEFT JOIN least_id ON s.doc_id = least_id.doc_id
 """
 
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_near_dup": OP10_SQL}
+#: Cells of failures, then every order of the letters with the bits that come before each.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), f AS (
+  SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)::INT AS mask FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, mask
+), e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (
+  SELECT e1.x || e2.x || e3.x || e4.x || e5.x AS filter_order, [e1.b, e2.b, e3.b, e4.b, e5.b] AS bits
+  FROM e e1, e e2, e e3, e e4, e e5 WHERE e1.b + e2.b + e3.b + e4.b + e5.b = 31 AND e1.b | e2.b | e3.b | e4.b | e5.b = 31
+), s AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (prior | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & prior = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & prior > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & prior = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & prior = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+SQL: dict[str, str] = {"op12_filter_audit": OP12_SQL, "op4_line_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_near_dup": OP10_SQL}
