@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignments
 from .byte_bpe import round_trip
 from .classify import fold
 from .common import table
@@ -24,6 +25,7 @@ from .toxicity import toxicity_scores
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 END_ID = 2
 #: Scores from here on count as label 1.
 CUT = 0.3
@@ -100,6 +102,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(documents(spark, sf_dir), *map(tokenizer_path, ALIGNED), with_groups=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dup": op10_near_dup,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_filter_audit": op12_filter_audit,
+    "op13_alignment": op13_alignment,
 }
 #: By brute force: the whole line of copies in one window.
 OP5_SQL = r"""
