@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calibrate, hash_order, uniform
+from ..plans.tables import written
 
 #: Edges of ten bins as doubles (0, 0.1, ... as sums of tenths give them).
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -77,25 +78,38 @@ def temperature_grid(scores: DataFrame, by: list[str], grid: list[float], p: str
     return each.groupBy(*by, "t").agg(F.avg(nll(calibrate(F.col(p), F.col("t")), F.col(y))).alias("nll"))
 
 
-def fit_temperature(scores: DataFrame, by: list[str], low: float = 0.05, high: float = 20.0, rounds: int = 3) -> DataFrame:
-    """by, temperature, at_bound: the least mean NLL on [low, high] over grids that close in, for ungrouped or few groups."""
-    groups = [r.asDict() for r in scores.select(*by).distinct().collect()] if by else [{}]
-    rows = []
-    for g in groups:
-        some = scores
-        for k, v in g.items():
-            some = some.where(F.col(k).eqNullSafe(F.lit(v)))
-        a, b = low, high
-        for _ in range(rounds):
-            grid = [a * (b / a) ** (i / 24) for i in range(25)]
-            best = temperature_grid(some, [], grid).orderBy("nll", "t").first()["t"]
-            i = min(range(25), key=lambda k: abs(grid[k] - best))
-            a, b = grid[max(0, i - 1)], grid[min(24, i + 1)]
-        rows.append((*g.values(), float(best), not 0.06 < best < 19.9))
-    fields = [*(f for f in scores.select(*by).schema.fields)] if by else []
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
-
-    return scores.sparkSession.createDataFrame(rows, StructType([*fields, StructField("temperature", DoubleType()), StructField("at_bound", BooleanType())]))
+def fit_temperature(scores: DataFrame, by: list[str], low: float = 0.05, high: float = 20.0, rounds: int = 40, p: str = "p", y: str = "y") -> DataFrame:
+    """by, temperature, at_bound: the temperature in [low, high] with the least mean NLL of each group, all groups at once.
+
+    In the inverse temperature the loss is convex, so a row for each group holds a bracket of the least place and the next
+    guess; a round is one aggregate of slope and curvature, which sets the guess by Newton's step, or halves the bracket
+    where that leaves it. A bound is the answer where the loss falls towards it. Rows of null score or truth don't count;
+    groups without others have no row. null is a group like others. Nothing but whether all groups are done comes to the driver.
+    """
+    bounded = F.least(F.greatest(F.when(F.isnan(p), 0.5).otherwise(F.col(p)), F.lit(1e-6)), F.lit(1 - 1e-6))
+    points = written(scores.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*by, F.log(bounded / (1 - bounded)).alias("_z"), F.col(y).cast("double").alias("_y")), "temperature-points")
+    share = lambda b: 1 / (1 + F.exp(-b * F.col("_z")))
+    slope = lambda b: F.avg(F.col("_z") * (share(b) - F.col("_y")))
+    cold, hot = F.lit(1 / high), F.lit(1 / low)
+    ends = points.groupBy(*by).agg(slope(cold).alias("_c"), slope(hot).alias("_h"))
+    edge = F.when(F.col("_c") >= 0, cold).when(F.col("_h") <= 0, hot)
+    state = written(ends.select(*by, F.coalesce(edge, F.lit(1.0)).alias("_b"), cold.alias("_low"), hot.alias("_high"), edge.isNotNull().alias("_done")), "temperature-state")
+    for _ in range(rounds):
+        if state.where("NOT _done").isEmpty():
+            break
+        open_ = state.where("NOT _done").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_b", "_low", "_high")
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+        joined = points.join(open_, same) if by else points.crossJoin(F.broadcast(open_))  # without groups, open_ is one row
+        s = share(F.col("_b"))
+        sums = joined.groupBy(*by, "_b", "_low", "_high").agg(slope(F.col("_b")).alias("_g"), F.avg(F.col("_z") * F.col("_z") * s * (1 - s)).alias("_c"))
+        sums = sums.withColumns({"_high": F.when(F.col("_g") > 0, F.col("_b")).otherwise(F.col("_high")), "_low": F.when(F.col("_g") > 0, F.col("_low")).otherwise(F.col("_b"))})
+        step = F.col("_b") - F.try_divide("_g", "_c")
+        guess = F.when((step > F.col("_low")) & (step < F.col("_high")), step).otherwise(F.sqrt(F.col("_low") * F.col("_high")))
+        done = (F.col("_g") == 0) | (F.abs(guess - F.col("_b")) <= 1e-9 * F.col("_b"))
+        new = sums.select(*by, F.when(F.col("_g") == 0, F.col("_b")).otherwise(guess).alias("_n"), "_low", "_high", done.alias("_done")).withColumnRenamed("_n", "_b")
+        state = written(state.where("_done").unionByName(new), "temperature-state")
+    temperature = 1 / F.col("_b")
+    return state.select(*by, temperature.alias("temperature"), (~((temperature > 0.06) & (temperature < 19.9))).alias("at_bound"))
 
 
 def _drawn(scores: DataFrame, key: str, resamples: int, seed: str) -> DataFrame:

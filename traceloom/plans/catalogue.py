@@ -328,11 +328,6 @@ def nll_temperature_grid(spark, sf):
     return E.temperature_grid(_scores(spark, sf), [], [0.5, 1.0, 2.0, 4.0]).select("t", r6("nll").alias("nll"))
 
 
-@query()
-def temperature_fit(spark, sf):
-    return E.fit_temperature(_scores(spark, sf).select("p", "y"), [])
-
-
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
     return E.latency(table(spark, sf, "events"), ["event_type"], "value").select("event_type", r6("p50").alias("p50"), r6("p95").alias("p95"))
@@ -454,4 +449,4 @@ def span_round_trip(spark, sf):
     return back.join(t.select("trace_id", F.md5("trace_id").alias("id")), "id").select("trace_id", "question", "final_answer")
 
 
-from . import catalogue_runs  # noqa: E402, F401  registers its queries
+from . import catalogue_finetune, catalogue_runs  # noqa: E402, F401  register their queries
