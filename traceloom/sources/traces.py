@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
@@ -62,7 +62,7 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("r", F.from_json("value", flat)).withColumn("c", read_calls("value"))
     pick = lambda field: F.coalesce(*[F.col(f"r.{n}") for n in ALIASES[field]])
     parsed = F.try_parse_json("value")
-    whole = parsed.isNotNull()
+    whole = S.is_json_object(F.col("value"))  # nothing may follow the object
     kind = F.schema_of_variant(F.try_variant_get(parsed, "$.label", "variant"))  # only what is a number in JSON is a score
     scored = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), S.label_of_score(F.col("r.label").try_cast("double")))
     label = F.coalesce(scored, label_column(F.when(kind == "STRING", F.col("r.label")), pick("final_answer"), pick("reference")))
@@ -75,10 +75,34 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).drop("_bad", "_json")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, line_id, value) of a text file or folder, blank lines too: a line's number in its file, from 1, and in all files in order of their names.
+
+    A file may be read in many splits. A task knows a line's place in its split; lines are counted by split, splits are
+    summed within their file and files among themselves, and a split's offset meets its lines again: a row for each split.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = rows.groupBy("file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("_from"))
+    sum_of = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    files = splits.groupBy("file").agg(F.sum("n").alias("n"))
+    files = files.withColumn("_before", sum_of(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).drop("n")  # a row for each file
+    splits = splits.withColumn("_offset", sum_of(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))).drop("n").join(files, "file")
+    line = F.col("_offset") + F.col("_at") - F.col("_from") + 1
+    return rows.join(splits, ["file", "_start"]).select("file", line.alias("line"), (F.col("_before") + line).alias("line_id"), "value")
+
+
+def usable(rows: DataFrame, where: str) -> DataFrame:
+    """Rows that can be used (reason null), without the reason; an error that counts the reasons where none can."""
+    good = rows.where("reason IS NULL").drop("reason")
+    if not good.head(1):
+        said = ", ".join(f"{r['n']} x {r['reason']}" for r in skip_reasons(rows).limit(20).collect()) or "empty"
+        raise ValueError(f"{where}: no usable traces ({said})")
+    return good
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines file or folder; the id of a row without one is its line's place in its file's partition order."""
-    lines = spark.read.text(path).withColumn("line_id", F.monotonically_increasing_id() + 1)
-    return labelled_lines(lines)
+    """A JSON-lines file or folder; a row without an id is called line-N by its number, see numbered_lines. usable() refuses a source without any."""
+    return labelled_lines(numbered_lines(spark, path).select("line_id", "value"))
 
 
 def skip_reasons(rows: DataFrame) -> DataFrame:
