@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..functions import scalars as S
@@ -150,54 +148,12 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     return otlp_spans(spark.read.text(path).withColumn("line_id", F.monotonically_increasing_id()))
 
 
-class _Chunk(InputPartition):
-    def __init__(self, ids: list[str]):
-        super().__init__(ids)
-
-
-class _StoreReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[_Chunk]:
-        ids = [x for x in self.options.get("ids", "").split(",") if x]
-        return [_Chunk(ids[i : i + 100]) for i in range(0, len(ids), 100)] or [_Chunk([])]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from urllib.parse import urlencode
-        from urllib.request import urlopen
-
-        cursor = None
-        while True:
-            query = [("limit", "1000"), *[("id", x) for x in partition.value], *([("cursor", cursor)] if cursor else [])]
-            with urlopen(f"{self.options['path']}?{urlencode(query)}", timeout=float(self.options.get("timeout", "30"))) as reply:
-                page = json.load(reply)
-            for row in page.get("data", []):
-                yield (json.dumps(row),)
-            cursor = page.get("next_cursor")
-            if not cursor:
-                return
-
-
-class TraceStore(DataSource):
-    """spark.read.format("trace_store").option("ids", "a,b").load(url): a row of JSON each, pages followed by cursor, a partition for 100 ids."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "trace_store"
-
-    def schema(self) -> str:
-        return "value string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _StoreReader(self.options)
-
-
-def open_source(spark: SparkSession, uri: str) -> DataFrame:
-    """By URI: a REST store, else lines, which are spans if the first one is OTLP and labelled traces if not."""
+def open_source(spark: SparkSession, uri: str, ids: list[str] | None = None) -> DataFrame:
+    """By URI: a REST store, perhaps only some ids of it, else lines, which are spans if the first one is OTLP and labelled traces if not."""
     if uri.startswith(("http://", "https://")):
-        spark.dataSource.register(TraceStore)
-        return spark.read.format("trace_store").load(uri)
+        from .store import read_store
+
+        return read_store(spark, uri, ids)
     first = spark.read.text(uri).where(F.trim("value") != "").first()
     if first is None:
         raise ValueError(f"{uri}: no rows")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,6 +53,37 @@ def assembled(stream: DataFrame, idle_ms: int = IDLE_MS, wait_ms: int = WAIT_MS)
     return stream.groupBy("trace_id").transformWithStateInPandas(statefulProcessor=Sessions(idle_ms, wait_ms), outputStructType=SESSION, outputMode="append", timeMode="processingTime")
 
 
+def _state(spark: SparkSession, checkpoint: str, variable: str, column: str) -> DataFrame:
+    """trace_id and the fields of a state variable, from a checkpoint; a variable that expires has them one level down."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load()
+    expires = "ttlExpirationMs" in rows.schema[column].dataType.names
+    return rows.select("key.trace_id", f"{column}.value.*" if expires else f"{column}.*")
+
+
+def held_spans(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(trace_id, span, seq): what a stopped query of assembled() holds in its state, by its checkpoint: neither lost nor given out yet."""
+    return _state(spark, checkpoint, "spans", "list_element")
+
+
+def held_traces(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """trace_id, spans, last_seq, first_at of the traces that a stopped query holds; first_at: when the first span came."""
+    first = _state(spark, checkpoint, "first", "value").select("trace_id", F.timestamp_millis("at").alias("first_at"))
+    counts = held_spans(spark, checkpoint).groupBy("trace_id").agg(F.count("*").alias("spans"), F.max("seq").alias("last_seq"))
+    return counts.join(first, "trace_id", "left")
+
+
+def recovery_audit(sent: DataFrame, given: DataFrame, held: DataFrame) -> DataFrame:
+    """span, trace_id, seq, times: spans that aren't exactly once in what was given out and what is held together; none in a sound run.
+
+    sent: trace_id, span, seq of what the query has taken in; given: rows of assembled(); held: of held_spans().
+    """
+    out = given.select("trace_id", F.explode("spans").alias("span")).unionByName(held.select("trace_id", "span"))
+    counts = out.groupBy("trace_id", "span").agg(F.count("*").alias("times"))
+    wanted = sent.groupBy("trace_id", "span").agg(F.count("*").alias("sent"), F.max("seq").alias("seq"))
+    both = wanted.join(counts, ["trace_id", "span"], "full").fillna(0, ["sent", "times"])
+    return both.where("sent <> times").select("span", "trace_id", "seq", "times")
+
+
 def idle_sessions(df: DataFrame, key: str, at: str, idle_s: float, ties: tuple[str, ...] = ()) -> DataFrame:
     """df with `session`, 1 and up within a key: a gap of idle_s seconds or more begins one. ties: columns that order equal times.
 
