@@ -12,18 +12,29 @@ TOOLS = ("search", "lookup")
 MOST_CALLS, PREVIEW_CHARS = 8, 300
 
 
+#: What may stand around a call that is written out.
+_OPENED, _CLOSED = ("<tool_call>", "```json", "```"), ("</tool_call>", "```")
+
+
+def _spaced(text: Column) -> Column:
+    """Marks and words of a text, one space between them."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(</?tool_call>|```(?:json)?|[:()])", " $1 "), r"\s+", " "))
+
+
 def text_call(reply: Column, tools: tuple[str, ...] = TOOLS) -> Column:
     """struct(name, args_json) of a reply that is one call written out as text and nothing else, null for every other reply.
 
-    The call may stand in call tags or a code fence; its arguments are one JSON object, in round brackets or after a colon
-    or not. Each step reads the one before once, so that the expression stays small.
+    The arguments reach from the first curly bracket to the last and must be one JSON object. What stands before them is
+    looked up among the ways to name a tool: in call tags, a code fence or neither, then the name, then a round bracket, a
+    colon or nothing; what stands after them, among the ways to end that.
     """
-    begins = "|".join(tools)
-    body = F.regexp_replace(reply, r"^\s*(<tool_call>|```json|```)?\s*", "")
-    body = F.regexp_replace(body, r"\s*(</tool_call>|```)?\s*$", "")
-    name = F.regexp_extract(body, f"^({begins})", 1)
-    args = F.regexp_replace(F.regexp_replace(body, rf"^({begins})\s*[:(]?\s*", ""), r"\s*\)?\s*$", "")
-    return F.when((name != "") & S.is_json_object(args), F.struct(name.alias("name"), args.alias("args_json")))
+    first, last = F.instr(reply, "{"), F.length(reply) - F.instr(F.reverse(reply), "}") + 1
+    args = F.substring(reply, first, last - first + 1)
+    names = {" ".join(filter(None, (opened, tool, mark))): tool for opened in ("", *_OPENED) for tool in tools for mark in ("", ":", "(")}
+    ends = [" ".join(filter(None, (mark, closed))) for mark in ("", ")") for closed in ("", *_CLOSED)]
+    name = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), _spaced(F.substring(reply, F.lit(1), first - 1)))
+    ended = _spaced(F.substring(reply, last + 1, F.length(reply))).isin(ends)
+    return F.when((first > 0) & ended & name.isNotNull() & S.is_json_object(args), F.struct(name.alias("name"), args.alias("args_json")))
 
 
 def budgeted(calls: DataFrame, run: str, at: str, most: int = MOST_CALLS) -> DataFrame:
