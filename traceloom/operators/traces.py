@@ -31,10 +31,12 @@ def numbered(items: Column, text) -> Column:
 
 
 def build_state(df: DataFrame) -> DataFrame:
-    """Adds `state`: question, numbered tool calls, the first pieces of evidence, answer. Args are compacted by Python first, if there are any."""
+    """Adds `state`: question, numbered tool calls, the first pieces of evidence, answer. Calls are shown as rendered() has them."""
+    if "rendered_calls" not in df.columns:
+        return build_state(rendered(df)).drop("rendered_calls")
     call = lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(c["name"], F.lit("")), F.lit("("), F.coalesce(c["args"], F.lit("")), F.lit(") -> "), c["status"])
     item = lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), S.truncate(e, EVIDENCE_CHARS))
-    calls = F.col("rendered_calls") if "rendered_calls" in df.columns else F.transform("tool_calls", lambda c: F.struct(c["name"].alias("name"), c["args_json"].alias("args"), F.coalesce(F.regexp_replace(c["status_json"], '^"|"$', ""), F.lit("ok")).alias("status")))
+    calls = F.col("rendered_calls")
     return df.withColumn("state", F.concat(
         F.lit("USER QUESTION:\n"), "question", F.lit("\n\nTOOL CALLS:\n"), numbered(calls, call),
         F.lit("\n\nEVIDENCE:\n"), numbered(F.slice("evidence", 1, EVIDENCE_ITEMS), item), F.lit("\n\nFINAL ANSWER:\n"), "final_answer",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..operators import retrieval as R
 from ..operators import traces as T
 from ..sources import sinks
 from ..streaming import assembly as A
+from .tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,9 +73,13 @@ def build_state(spark, sf):
     return T.build_state(traces_of(spark, sf)).select("trace_id", "state", F.sha2("state", 256).alias("state_id"))
 
 
-@query(f"WITH {_TRACES} SELECT trace_id, (CASE WHEN trim(question) = '' THEN 1 ELSE 0 END)::INT AS n_problems FROM traces")
+@query(f"""WITH {_TRACES} SELECT trace_id, array_to_string(list_filter([CASE WHEN trim(question) = '' THEN 'question is empty' END, CASE WHEN trace_id::BIGINT % 3 = 0 THEN 'agent is too long' END,
+  CASE WHEN trace_id::BIGINT % 5 = 0 THEN 'a tool call without a name' END, CASE WHEN trace_id::BIGINT % 7 = 0 THEN 'final_answer is missing' END], lambda x: x IS NOT NULL), '; ') AS problems FROM traces""")
 def trace_problems(spark, sf):
-    return T.problems(traces_of(spark, sf)).select("trace_id", F.size("problems").alias("n_problems"))
+    i = F.col("trace_id").cast("long")
+    calls = F.when(i % 5 == 0, F.array(F.struct(F.lit("").alias("name"), F.lit("{}").alias("args_json"), F.lit('"ok"').alias("status_json")))).otherwise(F.col("tool_calls"))
+    odd = traces_of(spark, sf).withColumns({"agent": F.when(i % 3 == 0, F.repeat(F.lit("é"), 65)), "tool_calls": calls, "final_answer": F.when(i % 7 != 0, F.col("final_answer"))})
+    return T.problems(odd).select("trace_id", F.array_join("problems", "; ").alias("problems"))
 
 
 @query("SELECT event_id, '{\"k\":' || regexp_extract(props, '\"k\": ([0-9]+)', 1) || '}' AS compact FROM events")
@@ -191,10 +197,15 @@ def fallback_policy(spark, sf):
 
 @query(f"""WITH {_DECIDED}, k AS (SELECT event_id, unnest(['review', 'archive']) AS sink FROM e WHERE keep) SELECT sink, count(*) AS n, min(event_id) AS first_id FROM k GROUP BY sink""")
 def export_fanout(spark, sf):
-    got = []
-    for name in ("review", "archive"):
-        sinks.fan_out(_decided(spark, sf).limit(0), {name: lambda df: None})
-        got.append(sinks.export_records(_decided(spark, sf).where("keep")).select(F.lit(name).alias("sink"), "event_id"))
+    """Kept rows written by two sinks and read back; a third fails by itself."""
+    path = f"{shared_dir(spark)}/fan-out-{uuid.uuid4().hex}"
+
+    def fails(df):
+        raise OSError("no such back end")
+
+    written = {name: lambda df, name=name: sinks.export_records(df).select("event_id").write.parquet(f"{path}/{name}") for name in ("review", "archive")}
+    said = sinks.fan_out(_decided(spark, sf), {"broken": fails, **written})
+    got = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("sink"), "event_id") for name, error in said.items() if error is None]
     return got[0].unionByName(got[1]).groupBy("sink").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
@@ -343,10 +354,13 @@ _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 
 @query(f"""WITH {_TRACES}, w AS (SELECT trace_id, {_WORDS.format('final_answer')} AS a, {_WORDS.format("array_to_string(evidence, ' ')")} AS e, len(evidence) AS n FROM traces)
-SELECT trace_id, -len(a)::INT AS short_answer, -n::INT AS few_evidence, round(CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE 1 - len(list_filter(a, lambda x: list_contains(e, x)))::DOUBLE / len(a) END, 6) AS low_overlap FROM w""")
+SELECT trace_id, -len(a)::INT AS short_answer, -n::INT AS few_evidence, round(CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE 1 - len(list_filter(a, lambda x: list_contains(e, x)))::DOUBLE / len(a) END, 6) AS low_overlap,
+  (NOT CASE WHEN trace_id::BIGINT % 3 = 0 THEN trace_id::BIGINT % 4 = 0 ELSE trace_id::BIGINT % 2 = 0 END)::INT::DOUBLE AS no_search, (trace_id::BIGINT % 4 = 0 AND trace_id::BIGINT % 8 <> 0)::INT::DOUBLE AS tool_error, (trace_id::BIGINT % 5 = 0)::INT::DOUBLE AS bad_stop FROM w""")
 def heuristic_features(spark, sf):
-    df = traces_of(spark, sf).withColumns({"used_search": F.lit(None).cast("boolean"), "stop_reason": F.lit(None).cast("string")})
-    return L.heuristics(df).select("trace_id", "short_answer", "few_evidence", r6("low_overlap").alias("low_overlap"))
+    i = F.col("trace_id").cast("long")
+    call = F.struct(F.lit("search").alias("name"), F.lit("{}").alias("args_json"), F.when(i % 8 != 0, '"error"').alias("status_json"))
+    df = traces_of(spark, sf).withColumns({"used_search": F.when(i % 3 != 0, i % 2 == 0), "stop_reason": F.when(i % 5 == 0, "max_steps"), "tool_calls": F.when(i % 4 == 0, F.array(call)).otherwise(F.col("tool_calls"))})
+    return L.heuristics(df).select("trace_id", "short_answer", "few_evidence", r6("low_overlap").alias("low_overlap"), "no_search", "tool_error", "bad_stop")
 
 
 @query()
@@ -376,16 +390,15 @@ def model_pairs(spark, sf):
     return E.pick_overlap(_picked(spark, sf), "model", "event_id").select("a", "b")
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), '[a-z0-9]+') AS ts FROM documents), s AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM d),
-w AS (SELECT q, t, count(*) AS times FROM (SELECT item_id AS q, unnest(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), '[a-z0-9]+')) AS t FROM benchmark) GROUP BY q, t),
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+') AS ts FROM documents), s AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM d),
+w AS (SELECT q, t, count(*) AS times FROM (SELECT item_id AS q, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS t FROM benchmark) GROUP BY q, t),
 tf AS (SELECT doc_id, any_value(len) AS len, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM w) GROUP BY doc_id, t),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 x AS (SELECT q, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / mean)) * times) AS score FROM tf JOIN df USING (t) JOIN w USING (t), s GROUP BY q, doc_id)
-SELECT q AS query_id, r AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS r FROM x) WHERE r <= 3""")
+SELECT q AS query_id, doc_id, r AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS r FROM x) WHERE r <= 3""")
 def bm25_topk(spark, sf):
-    plain = lambda df, key: df.select(key, F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ").alias("text"))
-    out = R.bm25(plain(table(spark, sf, "documents"), "doc_id"), plain(table(spark, sf, "benchmark"), F.col("item_id").alias("query_id")))
-    return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    out = R.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @query("""SELECT DISTINCT w AS wanted, p_name AS found, 'exact' AS how FROM (SELECT DISTINCT p_name AS w FROM part WHERE p_partkey % 2 = 0) JOIN part ON p_name = w
@@ -403,17 +416,21 @@ def resume_anti(spark, sf):
     return R.resume(planned, table(spark, sf, "lineitem").where("l_linenumber = 3").select(key("l_orderkey")))
 
 
-@query("SELECT item_id AS qid, true AS differs FROM benchmark")
+@query("""WITH q AS (SELECT item_id AS qid, CASE item_id % 9 WHEN 0 THEN 'Yes' WHEN 1 THEN upper(text) ELSE text END AS answer FROM benchmark),
+u AS (SELECT lower(answer) AS low, min(answer) AS answer FROM q WHERE lower(answer) NOT IN ('yes', 'no') GROUP BY 1),
+r AS (SELECT low, coalesce(lead(answer) OVER o, first_value(answer) OVER o) AS decoy FROM u WINDOW o AS (ORDER BY sha256('decoy|' || low))),
+f AS (SELECT arg_min(answer, sha256('decoy|' || low)) AS any_one FROM u)
+SELECT qid, CASE WHEN lower(coalesce(decoy, any_one)) <> lower(answer) THEN coalesce(decoy, any_one) END AS decoy FROM q LEFT JOIN r ON low = lower(answer), f""")
 def decoy_theta(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"))
-    out = R.decoys(q, q).join(q, "qid")
-    return out.select("qid", (F.lower("decoy") != F.lower("answer")).alias("differs"))
+    i = F.col("item_id")
+    q = table(spark, sf, "benchmark").select(i.alias("qid"), F.when(i % 9 == 0, "Yes").when(i % 9 == 1, F.upper("text")).otherwise(F.col("text")).alias("answer"))
+    return R.decoys(q, q).select("qid", "decoy")
 
 
-@query(f"""SELECT item_id AS qid, unnest(CASE WHEN {_u('plan', 'item_id::VARCHAR')} < 0.5 THEN ['natural', CASE WHEN {_u('plan-mix', 'item_id::VARCHAR')} < 0.4::DOUBLE THEN 'missing_evidence' WHEN {_u('plan-mix', 'item_id::VARCHAR')} < 0.7::DOUBLE THEN 'contradiction'
-  WHEN {_u('plan-mix', 'item_id::VARCHAR')} < 0.9::DOUBLE THEN 'early_stop' ELSE 'weak_model' END] ELSE ['natural'] END) AS condition FROM benchmark""")
+@query(f"""SELECT qid, condition, substr(sha256(qid || '|' || condition), 1, 16) AS run_key FROM (SELECT item_id AS qid, unnest(CASE WHEN {_u('plan', 'item_id::VARCHAR')} < 0.5 THEN ['natural', CASE WHEN {_u('plan-mix', 'item_id::VARCHAR')} < 0.4::DOUBLE THEN 'missing_evidence' WHEN {_u('plan-mix', 'item_id::VARCHAR')} < 0.7::DOUBLE THEN 'contradiction'
+  WHEN {_u('plan-mix', 'item_id::VARCHAR')} < 0.9::DOUBLE THEN 'early_stop' ELSE 'weak_model' END] ELSE ['natural'] END) AS condition FROM benchmark)""")
 def run_plan(spark, sf):
-    return R.plan_runs(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))).select("qid", "condition")
+    return R.plan_runs(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))).select("qid", "condition", "run_key")
 
 
 @query("""SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('pick|' || doc_id), doc_id) AS r, dense_rank() OVER (ORDER BY lang) AS v, (SELECT count(DISTINCT lang) FROM documents) AS n FROM documents)
@@ -435,10 +452,14 @@ def ext_windows(spark, sf):
     return e.groupBy(F.window("t", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_micros("w.start").alias("day_us"), "event_type", "n", "total")
 
 
-@query(f"WITH {_TRACES} SELECT trace_id, sha256(state) AS state_id FROM (WITH {_TRACES}, {_STATE} SELECT * FROM state)")
+@query(f"""WITH {_TRACES}, {_STATE}, p AS (SELECT trace_id, sha256(state) AS state_id, ('0x' || substr(sha256(state), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS p, {_u('floor', 'trace_id')} AS u FROM state),
+q AS (SELECT *, 1 / (1 + exp(-ln(least(greatest(p, 1e-6::DOUBLE), (1 - 1e-6)::DOUBLE) / (1 - least(greatest(p, 1e-6::DOUBLE), (1 - 1e-6)::DOUBLE))) / 0.86::DOUBLE)) AS c FROM p)
+SELECT trace_id, state_id, 'base' AS model, 'none' AS agent_label, round(p, 9) AS p_keep_raw, round(c, 9) AS p_keep, c >= 0.5::DOUBLE OR u < 0.02::DOUBLE AS keep, CASE WHEN c >= 0.5::DOUBLE THEN 'kev' WHEN u < 0.02::DOUBLE THEN 'random_floor' ELSE 'below_threshold' END AS reason,
+  CASE WHEN c >= 0.8::DOUBLE THEN 'high' WHEN c >= 0.5::DOUBLE OR u < 0.02::DOUBLE THEN 'normal' ELSE 'none' END AS severity FROM q""")
 def engine_pipeline(spark, sf):
     models = spark.createDataFrame([("none", "m")], "agent string, model string")
-    return P.run_engine(traces_of(spark, sf), models).select("trace_id", F.sha2("state", 256).alias("state_id"))
+    out = P.run_engine(traces_of(spark, sf), models, temperature=0.86)
+    return out.select("trace_id", F.sha2("state", 256).alias("state_id"), "model", "agent_label", F.round("p_keep_raw", 9).alias("p_keep_raw"), F.round("p_keep", 9).alias("p_keep"), "keep", "reason", "severity")
 
 
 @query(f"WITH {_TRACES} SELECT trace_id, question, final_answer FROM traces WHERE trim(question) <> ''")

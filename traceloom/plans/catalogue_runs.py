@@ -77,10 +77,10 @@ def evaluator(spark, sf):
     return E.in_order(_evaluated(spark, sf)).select("model", "signal", "base_rate", "sample_rate", *[r6(c).alias(c) for c in ("auroc_full_test", "recall_mean", "random_recall", "norm_recall_mean")])
 
 
-@query(f"""WITH {_EVALUATED} SELECT o.model AS other, list(o.base_rate ORDER BY o.base_rate)::VARCHAR AS behind FROM ev o JOIN ev m ON m.model = 'm3' AND o.model <> 'm3' AND m.base_rate = o.base_rate AND m.sample_rate = o.sample_rate
+@query(f"""WITH {_EVALUATED} SELECT o.model AS other, list(o.base_rate ORDER BY o.base_rate)::VARCHAR AS behind FROM ev o JOIN ev m ON m.model = 'm2' AND o.model <> 'm2' AND m.base_rate = o.base_rate AND m.sample_rate = o.sample_rate
 WHERE o.sample_rate = 0.1 AND m.norm_recall_mean <= o.norm_recall_mean GROUP BY o.model""")
 def not_better(spark, sf):
-    out = E.not_better(_evaluated(spark, sf).where("sample_rate = 0.1"), "m3", ["m1", "m2"])
+    out = E.not_better(_evaluated(spark, sf).where("sample_rate = 0.1"), "m2", ["m1", "m3"])
     return out.select("other", F.concat(F.lit("["), F.array_join("behind", ", "), F.lit("]")).alias("behind"))
 
 
@@ -120,20 +120,20 @@ def run_outcomes(spark, sf):
     return R.outcomes(runs).select("event_id", "final_answer", "stop_reason", "used_search")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN round(value / 500.0::DOUBLE, 6) END AS answer_wrong, CASE WHEN event_id % 4 = 0 THEN 'served' ELSE 'asked' END AS model, CASE event_id % 4 WHEN 0 THEN 12.5 WHEN 1 THEN 7.25 ELSE 99.0 END::DOUBLE AS latency_ms, CASE WHEN event_id % 4 >= 2 THEN 'invalid' END AS error_kind FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN round(value / 500.0::DOUBLE, 6) END AS answer_wrong, CASE WHEN event_id % 4 = 0 THEN round(value / 600.0::DOUBLE, 6) END AS keep_or_drop, CASE WHEN event_id % 4 = 0 THEN 'served' ELSE 'asked' END AS model, CASE event_id % 4 WHEN 0 THEN 12.5 WHEN 1 THEN 7.25 ELSE 99.0 END::DOUBLE AS latency_ms, CASE WHEN event_id % 4 >= 2 THEN 'invalid' END AS error_kind FROM events""")
 def scorer_replies(spark, sf):
     k, p = F.col("event_id") % 4, (F.col("value") / 500).cast("string")
     noul = lambda v, rest: F.concat(F.lit('{"answers": {"answer_wrong": {"noul": '), v, F.lit("}}"), F.lit(rest), F.lit("}"))
-    body = F.when(k == 0, noul(p, ', "model": "served", "latency_ms": 12.5, "evaluation_time_ms": 3')).when(k == 1, noul(p, ', "model": "", "evaluation_time_ms": 7.25')).when(k == 2, noul(F.lit("1.5"), "")).otherwise(noul(F.lit('"0.5"'), ""))
+    body = F.when(k == 0, F.concat(F.lit('{"answers": {"answer_wrong": {"noul": '), p, F.lit('}, "keep_or_drop": {"probabilities": {"keep": '), (F.col("value") / 600).cast("string"), F.lit('}}}, "model": "served", "latency_ms": 12.5, "evaluation_time_ms": 3}'))).when(k == 1, noul(p, ', "model": "", "evaluation_time_ms": 7.25')).when(k == 2, noul(F.lit("1.5"), "")).otherwise(noul(F.lit('"0.5"'), ""))
     out = table(spark, sf, "events").withColumn("r", C.read_reply(body, "asked", F.lit(99.0)))
-    return out.select("event_id", r6("r.answer_wrong").alias("answer_wrong"), "r.model", "r.latency_ms", "r.error_kind")
+    return out.select("event_id", r6("r.answer_wrong").alias("answer_wrong"), r6("r.keep_or_drop").alias("keep_or_drop"), "r.model", "r.latency_ms", "r.error_kind")
 
 
-@query("""SELECT event_type AS model, round(quantile_cont(value, 0.5), 6) AS latency_p50_ms, round(avg(t), 6) AS input_tokens_per_trace, count(*) AS traces_scored, coalesce(sum(t), 0)::BIGINT AS input_tokens_total, count(*) FILTER (value > 400) AS truncated
+@query("""SELECT event_type AS model, round(quantile_cont(value, 0.5), 6) AS latency_p50_ms, round(quantile_cont(value, 0.95), 6) AS latency_p95_ms, round(avg(t), 6) AS input_tokens_per_trace, count(*) AS traces_scored, coalesce(sum(t), 0)::BIGINT AS input_tokens_total, count(*) FILTER (value > 400) AS truncated
 FROM (SELECT *, CASE WHEN event_type <> 'view' AND event_id % 3 > 0 THEN event_id % 1000 END AS t FROM events) GROUP BY event_type""")
 def scoring_costs(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("model"), F.col("value").alias("latency_ms"), F.when((F.col("event_type") != "view") & (F.col("event_id") % 3 > 0), F.col("event_id") % 1000).alias("input_tokens"), (F.col("value") > 400).alias("truncated"))
-    return C.costs(e).select("model", r6("latency_p50_ms").alias("latency_p50_ms"), r6("input_tokens_per_trace").alias("input_tokens_per_trace"), "traces_scored", F.col("input_tokens_total").cast("long").alias("input_tokens_total"), "truncated")
+    return C.costs(e).select("model", r6("latency_p50_ms").alias("latency_p50_ms"), r6("latency_p95_ms").alias("latency_p95_ms"), r6("input_tokens_per_trace").alias("input_tokens_per_trace"), "traces_scored", F.col("input_tokens_total").cast("long").alias("input_tokens_total"), "truncated")
 
 
 @query("""SELECT user_id AS key, arg_max(event_type, event_id) AS model, max(event_id) AS at FROM events GROUP BY user_id""")

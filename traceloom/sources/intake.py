@@ -22,15 +22,24 @@ MOST_BYTES = {API_PATH: 8 << 20, SYNC_PATH: 8 << 20, SPANS_PATH: 16 << 20}
 
 @F.pandas_udf(BinaryType())
 def unpacked(bodies: pd.Series, most: pd.Series) -> pd.Series:
-    """A gzip body, at most a byte more than `most` of it; null if it is damaged or cut short."""
+    """A gzip body, all its members, at most a byte more than `most` of it; null if it is damaged or cut short."""
 
     def one(body: bytes, limit: int) -> bytes | None:
-        reader = zlib.decompressobj(31)
-        try:
-            out = reader.decompress(body, limit + 1)
-        except zlib.error:
-            return None
-        return out if reader.eof or len(out) > limit else None
+        out, rest = b"", body
+        while rest or not out:
+            reader = zlib.decompressobj(31)
+            try:
+                out += reader.decompress(rest, limit + 1 - len(out))
+            except zlib.error:
+                return None
+            if len(out) > limit:
+                return out
+            if not reader.eof:
+                return None
+            if not reader.unused_data:
+                break
+            rest = reader.unused_data
+        return out
 
     return pd.Series([None if b is None else one(bytes(b), int(m)) for b, m in zip(bodies, most, strict=True)], dtype=object)
 
