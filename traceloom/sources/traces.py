@@ -136,12 +136,17 @@ def otlp_spans(lines: DataFrame) -> DataFrame:
     df = lines.withColumn("j", F.from_json("value", OTLP)).select("line_id", F.posexplode(both("j.resourceSpans", "j.resource_spans")).alias("rs_at", "rs"))
     df = df.select("line_id", "rs_at", _map(F.col("rs.resource.attributes")).alias("resource_attributes"), F.posexplode(both("rs.scopeSpans", "rs.scope_spans")).alias("ss_at", "ss"))
     df = df.select("line_id", "rs_at", "ss_at", "resource_attributes", F.posexplode("ss.spans").alias("at", "s"))
+    return span_columns(df.select(
+        "line_id", "rs_at", "ss_at", "at", F.lower(both("s.traceId", "s.trace_id")).alias("trace_id"), F.lower(both("s.spanId", "s.span_id")).alias("span_id"), F.nullif(F.lower(both("s.parentSpanId", "s.parent_span_id")), F.lit("")).alias("parent_span_id"),
+        "s.name", F.coalesce(both("s.startTimeUnixNano", "s.start_time_unix_nano").cast("long"), F.lit(0)).alias("start_unix_nano"), F.col("s.status.code").alias("status_code"), _map(F.col("s.attributes")).alias("attributes"), "resource_attributes",
+    ))
+
+
+def span_columns(df: DataFrame) -> DataFrame:
+    """Spans with arrival_seq for their places: line_id, then rs_at, ss_at and at within it."""
     place = F.col("rs_at").cast("long") * F.lit(10**13) + F.col("ss_at").cast("long") * F.lit(10**8) + F.col("at")
-    return df.select(
-        F.lower(both("s.traceId", "s.trace_id")).alias("trace_id"), F.lower(both("s.spanId", "s.span_id")).alias("span_id"), F.nullif(F.lower(both("s.parentSpanId", "s.parent_span_id")), F.lit("")).alias("parent_span_id"),
-        "s.name", F.coalesce(both("s.startTimeUnixNano", "s.start_time_unix_nano").cast("long"), F.lit(0)).alias("start_unix_nano"), F.col("s.status.code").alias("status_code"), _map(F.col("s.attributes")).alias("attributes"),
-        "resource_attributes", (F.col("line_id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + place).alias("arrival_seq"),
-    )
+    seq = F.col("line_id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + place
+    return df.select("trace_id", "span_id", "parent_span_id", "name", "start_unix_nano", "status_code", "attributes", "resource_attributes", seq.alias("arrival_seq"))
 
 
 def read_otlp(spark: SparkSession, path: str) -> DataFrame:
