@@ -56,6 +56,38 @@ def with_records(calls: DataFrame, records: DataFrame, run: str = "run_id", at:
     return joined.select(*calls.columns, F.coalesce("_status", F.lit("bad_args")).alias("status"), S.truncate(F.coalesce("_result", F.lit("")), PREVIEW_CHARS).alias("result_preview"))
 
 
+#: Statuses of a call and what a call that gives nothing says.
+OK, NOT_FOUND, BAD_ARGS, EXHAUSTED = "ok", "not_found", "bad_args", "budget_exhausted"
+ARGUMENT = {"search": "query", "lookup": "title"}
+BAD_ARGUMENT = {"search": "Invalid arguments: `query` must be a non-empty string of keywords.", "lookup": "Invalid arguments: `title` must be a non-empty paragraph title."}
+
+
+def tool_results(calls: DataFrame, hits: DataFrame, exhausted: str, unknown: str = "unknown tool") -> DataFrame:
+    """calls (run_id, at, name, args_json, exhausted, titles) with status, result and paragraphs, as the model sees them.
+
+    hits (run_id, at, rank, title, text): what a search found, best first, or the one paragraph that a lookup did. A call
+    beyond its budget says `exhausted` and nothing else; one of no tool, or whose argument isn't a text that says
+    something, is bad_args; one without hits lists the titles there are. Paragraphs are shown as "[title] text", a blank
+    line between them. Hits of a call, and titles of its run, are a handful.
+    """
+    found = hits.groupBy("run_id", "at").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))).alias("_hits"))
+    df = calls.join(found, ["run_id", "at"], "left")
+    given = F.try_parse_json("args_json")
+    argument = F.coalesce(*[F.when((F.col("name") == tool) & (F.schema_of_variant(F.try_variant_get(given, f"$.{arg}", "variant")) == "STRING"), F.try_variant_get(given, f"$.{arg}", "string")) for tool, arg in ARGUMENT.items()])
+    df = df.withColumn("_asked", F.trim(argument))
+    none, known = F.col("_hits").isNull(), F.col("name").isin(*ARGUMENT)
+    titles = F.coalesce(F.nullif(F.array_join("titles", "; "), F.lit("")), F.lit("(none)"))
+    status = F.when(F.col("exhausted"), EXHAUSTED).when(~known | (F.coalesce("_asked", F.lit("")) == ""), BAD_ARGS).when(none, NOT_FOUND).otherwise(OK)
+    missed = F.when(F.col("name") == "search", F.concat(F.lit("No paragraphs matched the query. Try different keywords. Available titles: "), titles)).otherwise(F.concat(F.lit("No paragraph titled '"), F.col("_asked"), F.lit("'. Available titles: "), titles))
+    wrong = F.coalesce(*[F.when(F.col("name") == tool, F.lit(text)) for tool, text in BAD_ARGUMENT.items()], F.lit(unknown))
+    df = df.withColumn("status", status)
+    is_ = lambda x: F.col("status") == x
+    shown = F.array_join(F.transform("_hits", lambda h: F.concat(F.lit("["), h["title"], F.lit("] "), h["text"])), "\n\n")
+    result = F.when(is_(EXHAUSTED), exhausted).when(is_(BAD_ARGS), wrong).when(is_(NOT_FOUND), missed).otherwise(shown)
+    texts = F.when(is_(OK), F.transform("_hits", lambda h: h["text"])).otherwise(F.array().cast("array<string>"))
+    return df.withColumns({"result": result, "paragraphs": texts}).drop("_hits", "_asked")
+
+
 def run_evidence(paragraphs: Column) -> Column:
     """Distinct texts of an array of calls' arrays of paragraphs, in the order first seen; null arrays have none."""
     none = F.array().cast("array<string>")

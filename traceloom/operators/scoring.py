@@ -72,6 +72,23 @@ def fits_window(df: DataFrame, most: int, state: str = "state") -> DataFrame:
     return df.withColumn("state_tokens", F.ceil(S.approx_tokens(F.col(state)))).withColumn("fits", F.col("state_tokens") <= most)
 
 
+def training_window(df: DataFrame, tokens: Column, questions: list[int], state: int, branch: int, packed: int) -> DataFrame:
+    """Adds state_tokens and which limits a training record breaks: its state alone, with its longest question, with all of
+    them (questions: the tokens of each); fits: none of them. Records without tokens (null) fit nothing."""
+    n = F.col("state_tokens")
+    df = df.withColumn("state_tokens", tokens.cast("long"))
+    over = {"over_state": n > state, "over_branch": n + max(questions, default=0) > branch, "over_packed": n + sum(questions) > packed}
+    return df.withColumns({k: F.coalesce(v, F.lit(True)) for k, v in over.items()}).withColumn("fits", ~(F.col("over_state") | F.col("over_branch") | F.col("over_packed")))
+
+
+def kept_in_window(df: DataFrame, most_dropped: float) -> DataFrame:
+    """Records that fit; an error if a larger share than most_dropped doesn't. An empty table fits."""
+    dropped = window_report(df).first()
+    if (dropped["over_share"] or 0) > most_dropped:
+        raise ValueError(f"{dropped['over']} of {dropped['n']} records exceed the training window (limit {most_dropped:.0%}); raise it")
+    return df.where("fits")
+
+
 def window_report(df: DataFrame) -> DataFrame:
     """One row: rows, those over the window, and their share; of fits_window()."""
     return df.agg(F.count("*").alias("n"), F.count_if(~F.col("fits")).alias("over"), F.avg((~F.col("fits")).cast("int")).alias("over_share"))

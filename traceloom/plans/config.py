@@ -36,6 +36,8 @@ class Config:
     scorer_retries: int = 3
     scorer_backoff_s: tuple[float, ...] = (0.5, 2.0, 5.0)
     models: dict[str, str] = field(default_factory=dict)
+    api_keys: list[str] = field(default_factory=list)
+    exporters: list[dict] = field(default_factory=list)
 
     def problems(self) -> list[str]:
         out = [f"{n} must be in [0, 1]" for n in ("keep_threshold", "random_floor", "severity_high") if not 0 <= getattr(self, n) <= 1]
@@ -73,6 +75,62 @@ def load(values: dict, environment: dict | None = None, prefix: str = "TRACELOOM
     return config
 
 
+def with_secrets(values: object, environment: dict, place: str = "") -> tuple[object, list[str]]:
+    """values with what their `..._env` keys name in the environment, and what is wrong.
+
+    x_env: NAME becomes x: the variable's value. headers_env adds to the headers that are written there and replaces those
+    of the same name; api_keys_env is a list by commas. A variable that is named but not set, or empty, is an error.
+    """
+    if isinstance(values, list):
+        parts = [with_secrets(x, environment, f"{place}[{i}]") for i, x in enumerate(values)]
+        return [x for x, _ in parts], [e for _, wrong in parts for e in wrong]
+    if not isinstance(values, dict):
+        return values, []
+    out, wrong = {}, []
+    for key, value in values.items():
+        if not key.endswith("_env"):
+            out[key], more = with_secrets(value, environment, f"{place}.{key}".strip("."))
+            wrong += more
+    for key, name in values.items():
+        if not key.endswith("_env") or not name:
+            continue
+        target, found = key.removesuffix("_env"), environment.get(str(name), "")
+        where = f"{place}.{key}".strip(".")
+        if not found:
+            wrong.append(f"{where}: ${name} is not set")
+        elif target == "headers":
+            try:
+                out[target] = {**(out.get(target) or {}), **headers(found)}
+            except ValueError as e:
+                wrong.append(f"{where}: {e}")
+        else:
+            out[target] = [x.strip() for x in found.split(",") if x.strip()] if target == "api_keys" else found
+    return out, wrong
+
+
+def load_yaml(text: str, environment: dict | None = None, prefix: str = "TRACELOOM_") -> Config:
+    """A Config from YAML: secrets from the environment first, then as load(); all that is wrong is one error."""
+    import yaml
+
+    env = dict(os.environ) if environment is None else environment
+    try:
+        values = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(f"not YAML: {str(e).splitlines()[0]}") from None
+    if values is None:
+        values = {}
+    if not isinstance(values, dict):
+        raise ValueError("the configuration must be a mapping")
+    found, wrong = with_secrets(values, env)
+    try:
+        config = load(found, env, prefix)
+    except ValueError as e:
+        wrong.append(str(e))
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return config
+
+
 def headers(text: str) -> dict[str, str]:
     """'k=v,k2=v2' with percent escapes."""
     out = {}
