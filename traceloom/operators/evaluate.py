@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import calibrate, hash_order, uniform
 from ..plans.tables import written
+from .select import lowest_hashes, top_positives
 
 #: Edges of ten bins as doubles (0, 0.1, ... as sums of tenths give them).
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -29,11 +30,7 @@ def auroc(scores: DataFrame, by: list[str], p: str = "p", y: str = "y", weight:
 
 def sampler_metrics(scores: DataFrame, by: list[str], rates: list[float], p: str = "p", y: str = "y", pos: str = "pos") -> DataFrame:
     """by, rate, k, recall, random, oracle, normalized of the top k = max(1, ceil(rate * n)) rows; ties by `pos`."""
-    order = Window.partitionBy(*by).orderBy(F.desc(p), pos)
-    ranked = scores.withColumn("_r", F.row_number().over(order)).withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
-    group = Window.partitionBy(*by, "rate")
-    k = F.greatest(F.lit(1), F.ceil(F.col("rate") * F.count("*").over(group)))
-    out = ranked.withColumn("k", k).groupBy(*by, "rate").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.count_if(y).alias("positives"), F.count_if(F.col(y) & (F.col("_r") <= F.col("k"))).alias("hits"))
+    out = top_positives(scores, by, rates, p, y, pos)
     out = out.withColumns({"recall": F.try_divide("hits", "positives"), "random": F.col("k") / F.col("n"), "oracle": F.least(F.lit(1.0), F.try_divide("k", "positives"))})
     return out.withColumn("normalized", F.try_divide(F.col("recall") - F.col("random"), F.col("oracle") - F.col("random"))).select(*by, "rate", "k", "recall", "random", "oracle", "normalized")
 
@@ -49,8 +46,9 @@ def rebalanced(scores: DataFrame, base_rates: list[float], resamples: int, key:
     every = scores.crossJoin(F.broadcast(sets))  # a stated set of resamples against all rows
     tag = F.concat_ws("|", F.lit(seed), F.col("base_rate").cast("string"), F.col("resample").cast("string"), F.col(key).cast("string"))
     every = every.withColumn("pos", F.sha2(tag, 256))
-    order = Window.partitionBy("base_rate", "resample", y).orderBy("pos")
-    return every.withColumn("_r", F.row_number().over(order)).where(~F.col(y) | (F.col("_r") <= F.col("n_wrong"))).drop("_r", "n_wrong")
+    right = every.where(~F.col(y))  # all of them, in no order
+    wrong = lowest_hashes(every.where(y), ["base_rate", "resample"], "pos", "n_wrong", key)
+    return right.unionByName(wrong).drop("n_wrong")
 
 
 def summarised(metrics: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -167,7 +165,8 @@ def evaluated(scores: DataFrame, by: list[str], key: str, base_rates: list[float
     """
     truth = scores.groupBy(key).agg(F.first("y").alias("y"))
     sets = rebalanced(truth, base_rates, resamples, key, seed=seed).drop("y")
-    runs = sampler_metrics(scores.join(sets, key), [*by, "base_rate", "resample"], rates).withColumnRenamed("rate", "sample_rate")
+    drawn = written(scores.join(sets, key), "evaluated-sets")
+    runs = sampler_metrics(drawn, [*by, "base_rate", "resample"], rates).withColumnRenamed("rate", "sample_rate")
     out = runs.groupBy(*by, "base_rate", "sample_rate").agg(
         F.avg("recall").alias("recall_mean"), F.stddev_pop("recall").alias("recall_std"), F.avg("random").alias("random_recall"), F.avg("oracle").alias("oracle_recall"),
         F.avg("normalized").alias("norm_recall_mean"), F.stddev_pop("normalized").alias("norm_recall_std"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .select import lowest_hashes
 
 
 def latest_verdicts(annotations: DataFrame, name: str, spans: DataFrame | None = None) -> DataFrame:
@@ -104,20 +105,13 @@ def check_problems(report: DataFrame, least_train: int = 200) -> DataFrame:
 def stratified_pick(df: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame:
     """n rows spread evenly over the values of `by`, null the last of them; what doesn't divide goes to the first values in order.
 
-    A value's rows are taken in the order of a seeded hash. They are counted by the first four digits of it, so what lies
-    below the prefix in which a value's last row falls is taken as it is; only that prefix's rows are ordered.
+    A value's rows are taken in the order of a seeded hash, see lowest_hashes.
     """
     values = [r[0] for r in df.select(by).distinct().orderBy(F.col(by).asc_nulls_last()).collect()]  # a label's domain
     share, more = divmod(n, max(1, len(values)))
     quota = F.coalesce(*[F.when(F.col(by).eqNullSafe(F.lit(v)), share + (i < more)) for i, v in enumerate(values)], F.lit(0))
-    rows = df.withColumn("_h", S.hash_order(seed, F.col(key))).withColumn("_p", F.substring("_h", 1, 4))
-    counts = rows.groupBy(F.col(by).alias("_by"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_below", below)
-    rows = rows.withColumn("_quota", quota).join(counts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_p").eqNullSafe(F.col("_q"))).where("_below < _quota")
-    whole = rows.where("_below + _n <= _quota")
-    edge = rows.where("_below + _n > _quota").withColumn("_r", F.row_number().over(Window.partitionBy("_by", "_q").orderBy("_h", key)))
-    return whole.unionByName(edge.where("_below + _r <= _quota").drop("_r")).select(*df.columns)
+    rows = df.withColumns({"_h": S.hash_order(seed, F.col(key)), "_quota": quota})
+    return lowest_hashes(rows, [by], "_h", "_quota", key).select(*df.columns)
 
 
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
