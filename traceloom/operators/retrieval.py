@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import folded_length, hash_order, run_key, similarity, uniform
+from ..functions.scalars import folded, hash_order, run_key, similarity, uniform
+from ..plans.tables import written
 
 K1, B = 1.5, 0.75
 
@@ -33,11 +34,69 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 3, doc: str = "doc_id", q
     return ranked.select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """A text's q-grams, the n-th of a kind told apart from the others: as sets they overlap as multisets do."""
+    plain = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substring(text, i, size)), lambda g: F.length(g) == size)
+    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, 1, i + 1), lambda x: x == g)).cast("string")))
+
+
+def _bound(total: Column, least: float, size: int) -> Column:
+    """How many q-grams two texts of so many characters in all share at least, if they are as similar as `least`.
+
+    Matching blocks hold M = least * total / 2 characters or more, so many single ones are shared. There is an unmatched
+    character between two blocks, so blocks are at most total - 2 M + 1, and each holds one pair less than characters.
+    """
+    return F.ceil(total * least / 2 - 1e-6) if size == 1 else F.ceil(total * (1.5 * least - 1) - 1 - 1e-6)
+
+
+def similar_candidates(wanted: DataFrame, titles: DataFrame, least: float, size: int) -> DataFrame:
+    """(wanted, title): all pairs that can be as similar as `least`, by an inverted index of q-grams of 1 or 2 characters.
+
+    A pair must have lengths that allow it, share a gram of both prefixes (the rarest grams, as many as a pair that shares
+    none of them couldn't do without), and share enough grams in all. Pairs too short for the bound to ask for a gram of
+    two characters are left out with size 2.
+    """
+    low = lambda n: F.ceil(n * least / (2 - least) - 1e-6)
+    sides = wanted.select(F.col("wanted").alias("t"), F.lit(True).alias("w")).unionByName(titles.select(F.col("title").alias("t"), F.lit(False).alias("w"))).where("t IS NOT NULL")
+    sides = sides.withColumn("c", folded("t")).withColumns({"n": F.length("c"), "g": _grams(F.col("c"), size)}).where("n > 0")
+    each = sides.select("t", "w", "n", F.explode("g").alias("k"))
+    rare = each.join(each.groupBy("k").agg(F.count("*").alias("df")), "k")
+    kept = F.size("g") - F.greatest(F.lit(1), _bound(F.col("n") + low(F.col("n")), least, size)) + 1
+    indexed = rare.groupBy("t", "w", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "k"))), lambda x: x["k"]).alias("g"))
+    indexed = indexed.withColumn("h", F.transform("g", lambda x: F.xxhash64(x))).withColumn("p", F.explode(F.slice("h", F.lit(1), F.greatest(F.lit(0), kept).cast("int"))))
+    left = indexed.where("w").select("p", F.col("t").alias("wanted"), F.col("n").alias("a"), F.col("h").alias("ga"))
+    right = indexed.where("NOT w").select("p", F.col("t").alias("title"), F.col("n").alias("b"), F.col("h").alias("gb"))
+    total = F.col("a") + F.col("b")
+    enough = _bound(total, least, size)
+    pairs = left.join(right, "p").where((F.least("a", "b") >= F.ceil(total * least / 2 - 1e-6)) & (enough >= (1 if size == 2 else 0)))
+    return pairs.where(F.size(F.array_intersect("ga", "gb")) >= enough).select("wanted", "title").distinct()
+
+
+def most_similar(wanted: DataFrame, titles: DataFrame, least: float, sure: float = 0.8) -> DataFrame:
+    """(wanted, found): the most similar title of at least `least`; of equals the last by name.
+
+    Pairs of at least `sure`, where the bound on pairs of characters is sharp, are looked for first; what has none, or may
+    have one that is too short for that bound, is looked for by single characters.
+    """
+
+    def best(pairs: DataFrame, at_least: float) -> DataFrame:
+        near = pairs.withColumn("s", similarity("wanted", "title")).where(F.col("s") >= at_least)
+        return near.groupBy("wanted").agg(F.max_by("title", F.struct("s", "title")).alias("found"))
+
+    if sure <= least:
+        return best(similar_candidates(wanted, titles, least, 1), least)
+    # from 10 characters in all on, pairs as similar as `sure` share two characters; a partner is no shorter than its part
+    shortest = 2 / (1.5 * sure - 1) / (1 + sure / (2 - sure))
+    long = wanted.where(F.length(folded(F.col("wanted"))) >= shortest)
+    first = written(best(similar_candidates(long, titles, sure, 2), sure), "similar-titles")
+    rest = wanted.join(first, "wanted", "left_anti")
+    return first.unionByName(best(similar_candidates(rest, titles, least, 1), least))
+
+
 def lookup(paragraphs: DataFrame, wanted: DataFrame, least: float = 0.6) -> DataFrame:
     """wanted title, found title, how: exact, else ignoring case, else the most similar of at least `least`.
 
-    The first two are equi-joins. What is left is joined to the titles whose length lets them be as similar: of T characters
-    in both, the shorter's twice is at least `least` (above 0) of T. Null titles are found by none.
+    The first two are equi-joins, the last most_similar(). Null titles are found by none.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
@@ -45,13 +104,10 @@ def lookup(paragraphs: DataFrame, wanted: DataFrame, least: float = 0.6) -> Data
     w = wanted.select(F.col("title").alias("wanted")).distinct()
     exact = w.join(titles, w["wanted"] == titles["title"]).select("wanted", F.col("title").alias("found"), F.lit("exact").alias("how"))
     rest = w.join(exact, "wanted", "left_anti")
-    folded = titles.groupBy(F.lower("title").alias("key")).agg(F.min("title").alias("found"))
-    case = rest.withColumn("key", F.lower("wanted")).join(folded, "key").select("wanted", "found", F.lit("case").alias("how"))
-    rest = rest.join(case, "wanted", "left_anti")
-    low, high = F.ceil(F.col("n") * least / (2 - least) - 1e-6), F.floor(F.col("n") * (2 - least) / least + 1e-6)
-    rest = rest.where("wanted IS NOT NULL").withColumn("n", folded_length("wanted")).withColumn("length", F.explode(F.sequence(low, high)))
-    near = rest.join(titles.where("title IS NOT NULL").withColumn("length", folded_length("title")), "length").withColumn("s", similarity("wanted", "title")).where(F.col("s") >= least)
-    best = near.groupBy("wanted").agg(F.max_by("title", F.struct("s", "title")).alias("found")).withColumn("how", F.lit("similar"))
+    by_case = titles.groupBy(F.lower("title").alias("key")).agg(F.min("title").alias("found"))
+    case = rest.withColumn("key", F.lower("wanted")).join(by_case, "key").select("wanted", "found", F.lit("case").alias("how"))
+    rest = rest.join(case, "wanted", "left_anti").where("wanted IS NOT NULL")
+    best = most_similar(rest, titles, least).withColumn("how", F.lit("similar"))
     return exact.unionByName(case).unionByName(best)
 
 

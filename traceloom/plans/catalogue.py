@@ -401,12 +401,12 @@ def bm25_topk(spark, sf):
     return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-@query("""SELECT DISTINCT w AS wanted, p_name AS found, 'exact' AS how FROM (SELECT DISTINCT p_name AS w FROM part WHERE p_partkey % 2 = 0) JOIN part ON p_name = w
-UNION ALL SELECT DISTINCT w, p_name, 'case' FROM (SELECT DISTINCT upper(p_name) AS w FROM part WHERE p_partkey % 2 = 1) JOIN part ON lower(p_name) = lower(w)""")
+@query("""WITH w AS (SELECT DISTINCT CASE WHEN p_partkey % 7 = 0 THEN p_name || '~' WHEN p_partkey % 7 = 1 THEN repeat('~', 9) || p_partkey WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS wanted FROM part)
+SELECT DISTINCT wanted, p_name AS found, CASE WHEN wanted = p_name THEN 'exact' WHEN lower(wanted) = lower(p_name) THEN 'case' ELSE 'similar' END AS how FROM w JOIN part ON p_name = wanted OR upper(p_name) = wanted OR p_name || '~' = wanted""")
 def title_lookup(spark, sf):
-    part = table(spark, sf, "part")
-    wanted = part.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("title"))
-    return R.lookup(part.select(F.col("p_name").alias("title")), wanted)
+    part, name, k = table(spark, sf, "part"), F.col("p_name"), F.col("p_partkey") % 7
+    wanted = F.when(k == 0, F.concat(name, F.lit("~"))).when(k == 1, F.concat(F.lit("~" * 9), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 2 == 0, name).otherwise(F.upper(name))
+    return R.lookup(part.select(name.alias("title")), part.select(wanted.alias("title")))
 
 
 @query("SELECT o_orderkey, substr(sha256(o_orderkey || '|natural'), 1, 16) AS run_key FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3)")
