@@ -300,7 +300,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated of each row."""
+    """doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated of each row.
+
+    Items of null item_id count as one item, whose name among the joined ones is empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +313,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 for word, n in at:
                     covered += max(0, word + n - max(word, end))
                     end = max(end, word + n)
-                names = sorted({m["item_id"] for m in matches if m["item_id"] is not None})
+                names = sorted(x or "" for x in {m["item_id"] for m in matches})
                 hits.append(covered)
                 counts.append(len(names))
                 sums.append(hashlib.sha256(",".join(names).encode()).hexdigest())

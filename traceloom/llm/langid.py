@@ -24,13 +24,18 @@ FIT_ROWS, FIT_CHARS = 6_000, 8_000_000
 STRETCHES = (40, 160, 600)
 #: Stretches that a fit goes through at least, in more epochs if there are few.
 STEPS = 40_000
-LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 #: What is not an ASCII letter or part of a longer character becomes a space.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 ORDERS = (2, 3, 4)
 _SALTS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter: not a digit in a circle, a fraction or a power."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def subwords(data: np.ndarray) -> list[np.ndarray]:
     """For each length, the bucket of the byte run that starts at each place; BUCKETS where it has a space inside."""
     value = data.astype(np.uint32) + np.uint32(1)
@@ -78,7 +83,7 @@ def pieces(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> tu
         start, turn = 0, int(rng.integers(0, len(STRETCHES)))
         while start < len(text):
             end = start + STRETCHES[turn % len(STRETCHES)]
-            if LETTER.search(piece := text[start:end]):
+            if has_letter(piece := text[start:end]):
                 out.append(piece)
                 y.append(label)
             start, turn = end, turn + 1
@@ -134,7 +139,7 @@ def scorer(model: dict) -> Callable[[list[str | None]], dict]:
     names = np.array([*model["names"], UNKNOWN], object)
 
     def score(texts: list[str | None]) -> dict:
-        lettered = np.array([bool(x and LETTER.search(x)) for x in texts])
+        lettered = np.array([bool(x) and has_letter(x) for x in texts])
         if "table" in model:
             p = _softmax(_pooled(texts, model["table"]) / model["t"])
             best, top = p.argmax(1), p.max(1)

@@ -192,7 +192,7 @@ WITH d AS (
 ), c AS (
   SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM h) GROUP BY doc_id
 ), i AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  SELECT doc_id, count(*) AS n_items, string_agg(coalesce(item_id, ''), ',' ORDER BY coalesce(item_id, '')) AS items
   FROM (SELECT DISTINCT doc_id, item_id FROM h JOIN bw USING (win)) GROUP BY doc_id
 )
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
