@@ -470,4 +470,4 @@ def span_round_trip(spark, sf):
     return back.join(t.select("trace_id", F.md5("trace_id").alias("id")), "id").select("trace_id", "question", "final_answer")
 
 
-from . import catalogue_finetune, catalogue_metrics, catalogue_runs, catalogue_sources, catalogue_tools  # noqa: E402, F401  register their queries
+from . import catalogue_compare, catalogue_finetune, catalogue_metrics, catalogue_runs, catalogue_sources, catalogue_tools  # noqa: E402, F401  register their queries

@@ -180,4 +180,5 @@ def without_call(spark, sf):
 
 @query()
 def synthetic_traces(spark, sf):
-    return generate.labelled_traces(spark, 600).groupBy("label", "failure_type").agg(F.count("*").alias("n"), F.count_distinct("qid").alias("questions"))
+    """As many made-up traces as there are turns of conversations."""
+    return generate.labelled_traces(spark, table(spark, sf, "conversations").count()).groupBy("label", "failure_type").agg(F.count("*").alias("n"), F.count_distinct("qid").alias("questions"))

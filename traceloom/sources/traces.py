@@ -175,3 +175,9 @@ def corpus(questions_: DataFrame) -> DataFrame:
     """title, text of all paragraphs; of a title the text of the least (qid, place)."""
     each = questions_.select("qid", F.posexplode("paragraphs").alias("at", "p"))
     return each.groupBy(F.col("p.title").alias("title")).agg(F.min_by("p.text", F.struct("qid", "at")).alias("text"))
+
+
+def array_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """title, text of a corpus that is one JSON array of paragraphs; what a paragraph lacks is empty. A file is read by one task."""
+    rows = spark.read.schema("title string, text string").option("multiLine", True).json(path)
+    return rows.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
