@@ -63,15 +63,17 @@ class Queue:
             self.file.close()
 
 
+def place_type(n: int) -> type:
+    """The narrowest type that counts n places: half the memory for texts of under 2 G symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _types(text: np.ndarray) -> np.ndarray:
-    """True for S: smaller than the next suffix. The text ends with a least symbol of its own."""
-    n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    out = np.zeros(n, bool)
-    if len(differs):
-        upto = differs[np.searchsorted(differs, np.arange(n - 1).clip(max=differs[-1]))]
-        out[:-1] = text[upto] < text[upto + 1]
-    out[-1] = True
+    """True for S: smaller than the next suffix. The text ends with a least symbol of its own, so its last run is that symbol."""
+    last = np.flatnonzero(text[:-1] != text[1:]).astype(place_type(len(text)))  # of each run of a symbol but the end's
+    out = np.ones(len(text), bool)
+    if len(last):
+        out[: last[-1] + 1] = np.repeat(text[last] < text[last + 1], np.diff(last, prepend=last.dtype.type(-1)))
     return out
 
 
@@ -113,18 +115,25 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, budget: int)
         downs.push_sorted(first[~same], before[~same])
         return before[same]
 
-    out: list[np.ndarray] = []
+    out, end = np.empty(len(text), seeds.dtype), len(text)  # filled from its end
+
+    def put(places: np.ndarray) -> None:
+        nonlocal end
+        out[end - len(places) : end] = places[::-1]
+        end -= len(places)
+
     for symbol in range(symbols - 1, -1, -1):
         found = downs.pop(symbol)
         while found is not None and len(found):
-            out.append(found)
+            put(found)
             found = down(found, symbol)
-        for found in large[symbol][::-1]:
-            out.append(found[::-1])
-            down(found[::-1], symbol)
+        while large[symbol]:
+            found = large[symbol].pop()[::-1]
+            put(found)
+            down(found, symbol)
     downs.close()
-    order = np.concatenate([np.zeros(0, np.int64), *out])[::-1]
-    return np.concatenate([np.array([len(text) - 1]), order[order != len(text) - 1]])
+    out[0] = len(text) - 1
+    return out
 
 
 def _doubled(names: np.ndarray) -> np.ndarray:
@@ -145,11 +154,11 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 
 def suffix_order(text: np.ndarray, budget: int = QUEUE_BYTES) -> np.ndarray:
     """The suffixes of a text in order; its last symbol is less than all others and stands there alone."""
-    n = len(text)
+    n, kind = len(text), place_type(len(text))
     if n < 3:
-        return np.arange(n)[::-1]
+        return np.arange(n, dtype=kind)[::-1]
     small = _types(text)
-    star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    star = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
     if len(star) < 2:
         return _induce(text, small, star, budget)
     # S* substrings in order: induced from S* suffixes that are sorted by their first symbol only
@@ -157,24 +166,25 @@ def suffix_order(text: np.ndarray, budget: int = QUEUE_BYTES) -> np.ndarray:
     is_star = np.zeros(n, bool)
     is_star[star] = True
     rough = rough[is_star[rough]]
-    size = np.zeros(n, np.int64)
-    size[star] = np.append(np.diff(star) + 1, 1)
-    name = np.zeros(n, np.int64)
-    a, b = rough[:-1], rough[1:]
-    same = size[a] == size[b]
-    live, k = np.flatnonzero(same), 0
+    which = np.searchsorted(star, rough).astype(kind)
+    size = np.append(np.diff(star) + 1, 1).astype(kind)[which]
+    same = size[:-1] == size[1:]
+    live, k = np.flatnonzero(same).astype(kind), 0
     while len(live):
-        equal = text[np.minimum(a[live] + k, n - 1)] == text[np.minimum(b[live] + k, n - 1)]
+        equal = text[np.minimum(rough[live] + k, n - 1)] == text[np.minimum(rough[live + 1] + k, n - 1)]
         same[live[~equal]] = False
         live, k = live[equal], k + 1
-        live = live[size[a[live]] > k]
-    name[rough] = np.append(0, np.cumsum(~same))
-    names = name[star]
+        live = live[size[live] > k]
+    del rough, size, live
+    names = np.empty(len(star), kind)
+    names[which] = np.append(0, np.cumsum(~same, dtype=kind))
+    del which, same
     if names.max() + 1 == len(star):
-        order = np.empty(len(star), np.int64)
-        order[names] = np.arange(len(star))
+        order = np.empty(len(star), kind)
+        order[names] = np.arange(len(star), dtype=kind)
     elif names.max() < SYMBOLS:
         order = suffix_order(names, budget)
     else:
         order = _doubled(names)
+    del names
     return _induce(text, small, star[order], budget)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, eight_bytes, in_arrow, mix64, slices, span_hashes, written
-from .induced import suffix_order
+from .induced import place_type, suffix_order
 
 #: A gram is two numbers of eight bytes.
 LENGTH, GRAM = 50, 16
@@ -285,36 +285,44 @@ def _pieces_to_sort(docs: DataFrame, shards: int, length: int) -> DataFrame:
 
 def repeated(docs: np.ndarray, counts: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """For each start of each piece, whether its string is in a piece of a smaller document. data is the pieces' bytes."""
-    sizes = counts + length - 1
-    ends = np.cumsum(sizes + 1)
-    text = np.zeros(int(ends[-1]) + 1, np.uint16)  # a space of its own after each piece, and a least symbol at the end
-    into = np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)
-    text[into] = data.astype(np.uint16) + 2
+    ends = np.cumsum(counts + length)  # each piece, and a space of its own after it; a least symbol at the end
+    if not len(ends):
+        return np.zeros(0, bool)
+    n = int(ends[-1]) + 1
+    kind = place_type(n)
+    inside, raw = np.ones(n, bool), np.zeros(n + length, np.uint8)
+    inside[ends - 1] = inside[-1] = False
+    raw[:n][inside] = data
+    text = raw[:n].astype(np.uint16)
+    text[inside] += 2
     text[ends - 1] = 1
     order = suffix_order(text)
-    starts = ends - sizes - 1
-    at = np.repeat(starts, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    number = np.full(len(text), -1, np.int64)
-    number[at] = np.arange(len(at))
-    order = order[number[order] >= 0]  # those with a whole string, still in order
-    # eight bytes from each place as one number
-    packed = np.zeros(len(text) + 8, np.uint64)
-    byte = np.zeros(len(text) + 16, np.uint64)
-    byte[into] = data
-    for k in range(8):
-        packed |= byte[k : k + len(packed)] << np.uint64(8 * k)
-    same = np.ones(max(0, len(order) - 1), bool)
-    live = np.arange(len(same))
-    for k in [*range(0, length - 8, 8), length - 8]:
-        equal = packed[order[live] + k] == packed[order[live + 1] + k]
-        same[live[~equal]] = False
-        live = live[equal]
-    group = np.append(0, np.cumsum(~same)) if len(order) else np.zeros(0, np.int64)
-    owner = np.repeat(docs, counts)[number[order]]
-    edge = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(owner, edge) if len(edge) else owner
-    out = np.zeros(len(at), bool)
-    out[number[order]] = owner > least[group] if len(edge) else False
+    del text, inside
+    # starts of whole strings; the number of each, and its document's rank
+    edges = np.zeros(n + 1, np.int8)
+    edges[ends - counts - length] = 1
+    edges[ends - length] = -1
+    whole = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
+    del edges
+    order = order[whole[order]]  # those with a whole string, still in order
+    number = np.cumsum(whole, dtype=kind) - kind(1)
+    del whole
+    same, packed = np.ones(max(0, len(order) - 1), bool), eight_bytes(raw)
+    for low in range(0, len(same), CHUNK):  # byte for byte, in small steps
+        step = same[low : low + CHUNK]
+        live = np.arange(len(step))
+        for k in [*range(0, length - 8, 8), length - 8]:
+            equal = packed[order[low + live] + k] == packed[order[low + live + 1] + k]
+            step[live[~equal]] = False
+            live = live[equal]
+    del packed, raw
+    order = number[order]
+    del number
+    owner = np.repeat(np.unique(docs, return_inverse=True)[1].astype(np.int32), counts)[order]
+    edge = np.flatnonzero(np.append(True, ~same))
+    least = np.minimum.reduceat(owner, edge)
+    out = np.zeros(len(order), bool)
+    out[order] = owner > np.repeat(least, np.diff(np.append(edge, len(order))))
     return out
 
 
@@ -353,14 +361,15 @@ def _sorted_out(found: DataFrame, length: int) -> DataFrame:
             yield spans(docs[again], marks[again], starts[again], counts[again])
             data = data[np.repeat(~again, counts + length - 1)]
             docs, marks, starts, counts = docs[~again], marks[~again], starts[~again], counts[~again]
-            gone = repeated(docs, counts, data, length)
-            piece = np.repeat(np.arange(len(counts)), counts)
-            place = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hit = np.flatnonzero(gone)
+            rows.clear()  # held by _grouped too
+            del sent, again, order, whole, head, first, ends, begin
+            hit = np.flatnonzero(repeated(docs, counts, data, length))
             if len(hit):
-                edge = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(piece[hit]) != 0)))
-                first = hit[edge]
-                yield spans(docs[piece[first]], marks[piece[first]], starts[piece[first]] + place[first], np.diff(np.append(edge, len(hit))))
+                until = np.cumsum(counts)
+                piece = np.searchsorted(until, hit, side="right")
+                edge = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(piece) != 0)))
+                piece, first = piece[edge], hit[edge]
+                yield spans(docs[piece], marks[piece], starts[piece] + first - (until - counts)[piece], np.diff(np.append(edge, len(hit))))
 
     dealt = found.repartition("shard").sortWithinPartitions("shard")
     return dealt.transform(in_arrow, run, "doc long, mark long, start long, n long")
