@@ -35,6 +35,8 @@ BLOCK_IDS = 1 << 16
 #: Pieces that an encoder holds at most (about 40 bytes each), and the bytes of the longest.
 HELD_PIECES = 1 << 19
 LONG = 128
+#: Bytes of text that are encoded in one step; the arrays of a step take about 40 times as much.
+STEP_BYTES = 1 << 19
 #: What the pre-tokeniser takes a byte for; ODD: not told by the byte alone.
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
 KINDS = np.array([SPACE if chr(b) in " \t\n\r" else ODD if b < 32 or b > 126 or chr(b) == "'" else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK for b in range(256)], np.uint8)
@@ -298,7 +300,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, bloc
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([to_block(docs_)], pa.binary())], ["shard", "block", "first_id", "n_ids", "doc_ids", "payload"])
 
-        for part in (x for batch in batches for x in slices(batch)):
+        for part in (x for batch in batches for x in slices(batch, most=STEP_BYTES)):
             all_ids, at = encoder.encode_bytes([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])
             for name, text in zip(part.column(0).to_pylist(), np.split(all_ids, at[1:-1]), strict=True):
                 ids = np.append(text, np.uint32(end_id))
