@@ -218,3 +218,13 @@ def test_lookup_ignores_null_titles_and_finds_folded_lengths(spark):
     p = spark.createDataFrame([(None,), ("Gro\u00dfe Stra\u00dfe",), ("x",)], "title string")
     w = spark.createDataFrame([(None,), ("grosse strase",), ("zzzz",)], "title string")
     assert [tuple(r) for r in R.lookup(p, w).collect()] == [("grosse strase", "Gro\u00dfe Stra\u00dfe", "similar")]
+
+
+def test_simple_upper_keeps_one_character_for_each(spark):
+    import duckdb
+
+    texts = ["Stra\u00dfe \u00e4\u00f6\u00fc", "\u0149 \ufb01x \u1f80", "", None, "a\nb\u00df\u00df"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = [r[0] for r in df.select(S.simple_upper(F.col("t"))).collect()]
+    assert got[0] == "STRA\u1e9eE \u00c4\u00d6\u00dc"
+    assert got == [duckdb.execute("SELECT upper(?::VARCHAR)", [x]).fetchone()[0] for x in texts]

@@ -423,7 +423,7 @@ f AS (SELECT arg_min(answer, sha256('decoy|' || low)) AS any_one FROM u)
 SELECT qid, CASE WHEN lower(coalesce(decoy, any_one)) <> lower(answer) THEN coalesce(decoy, any_one) END AS decoy FROM q LEFT JOIN r ON low = lower(answer), f""")
 def decoy_theta(spark, sf):
     i = F.col("item_id")
-    q = table(spark, sf, "benchmark").select(i.alias("qid"), F.when(i % 9 == 0, "Yes").when(i % 9 == 1, F.upper("text")).otherwise(F.col("text")).alias("answer"))
+    q = table(spark, sf, "benchmark").select(i.alias("qid"), F.when(i % 9 == 0, "Yes").when(i % 9 == 1, S.simple_upper(F.col("text"))).otherwise(F.col("text")).alias("answer"))
     return R.decoys(q, q).select("qid", "decoy")
 
 
