@@ -417,3 +417,25 @@ def test_query_agrees_with_its_sql(spark, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_components_of_new_links_go_on_from_known_labels(spark):
+    from traceloom.llm import near_dup
+
+    rng = np.random.default_rng(3)
+    edges = [(i + 1, i) for i in range(40)] + [(7, 7)] + (rng.integers(100, 160, (70, 2))).tolist()
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    frame = lambda some: spark.createDataFrame([tuple(map(int, e)) for e in some], "a long, b long")
+    first = near_dup.components(frame(edges[::2]))
+    got = near_dup.components(frame(edges[1::2]), first)
+    assert {r["c"]: r["label"] for r in got.collect()} == {v: root(v) for v in parent}
+    assert near_dup.components(frame([]), first).count() == first.count()

@@ -242,18 +242,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.transform(in_arrow, run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """c and its component's least vertex, of each vertex of the links (a, b). Least labels spread and are followed."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-links")
-    label = written(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc")
+def _flat(to: DataFrame) -> DataFrame:
+    """c and the end of its chain, of pointers (c, to) none of which lead up; ends point to themselves."""
     while True:
-        near = both.join(label.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("near"))
-        step = label.join(near, "c").select("c", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        follow = label.select(F.col("c").alias("to"), F.col("label").alias("beyond"))
-        step = written(step.join(follow, "to", "left").select("c", F.least("to", F.coalesce("beyond", "to")).alias("label"), "was"), "cc")
-        label = step.select("c", "label")
-        if step.where("label <> was").isEmpty():
-            return label
+        beyond = to.select(F.col("c").alias("to"), F.col("to").alias("beyond"))
+        step = written(to.join(beyond, "to").select("c", F.col("beyond").alias("to"), (F.col("to") != F.col("beyond")).alias("moved")), "cc")
+        to = step.select("c", "to")
+        if step.where("moved").isEmpty():
+            return to
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """c and label, its component's least vertex, of each vertex of the links (a, b) and of `known`, labels of earlier links.
+
+    Each vertex points to its least neighbour, chains of these are followed to their ends, and links go on between the ends
+    alone, which leaves few after a round or two.
+    """
+
+    def moved(links: DataFrame, to: DataFrame) -> DataFrame:
+        for end in "ab":
+            links = links.join(to.select(F.col("c").alias(end), F.col("to").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def followed(label: DataFrame, to: DataFrame) -> DataFrame:
+        return written(label.join(to.withColumnRenamed("c", "label"), "label", "left").select("c", F.coalesce("to", "label").alias("label")), "cc-labels")
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    if known is None:
+        label = ends.withColumn("label", F.col("c"))
+        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    else:
+        label = known.unionByName(ends.join(known, "c", "left_anti").withColumn("label", F.col("c")))
+        links = moved(links, known.select("c", F.col("label").alias("to")))
+    label, links = written(label, "cc-labels"), written(links, "cc-links")
+    while not links.isEmpty():
+        near = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("to"))  # a is less: only upper ends move
+        to = _flat(written(near.unionByName(links.select(F.col("a").alias("c")).distinct().join(near, "c", "left_anti").withColumn("to", F.col("c"))), "cc"))
+        label, links = followed(label, to), written(moved(links, to), "cc-links")
+    return label
 
 
 def _close(percent: int, n: str = "n", m: str = "m"):
@@ -317,7 +343,7 @@ def _components(docs: DataFrame, size: int, percent: int, mark: tuple[str, ...]
     buckets = written(_buckets(keys), "nd-buckets")
     candidates = classes.join(buckets.select("c").distinct(), "c", "left_semi")
     sets = written(_sets(docs, candidates, size), "nd-sets", "none")
-    links = tried = label = None
+    tried = label = None
     for turn in range(ROUNDS + 1):
         held = buckets
         if label is not None:  # only buckets of several components
@@ -346,6 +372,5 @@ def _components(docs: DataFrame, size: int, percent: int, mark: tuple[str, ...]
             found = found.unionByName(_linked_in_blocks(_merged(held.where(F.col("size") > SMALL)), sets, percent))
         found = written(found, "nd-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        label = components(found, label)
     return signed, classes.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
