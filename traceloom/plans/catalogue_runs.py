@@ -24,10 +24,13 @@ g AS (SELECT {columns}, resample, p, sum(CASE WHEN y THEN w ELSE 0 END)::DOUBLE
 v AS (SELECT {columns}, resample, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {columns}, resample ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY {columns}, resample HAVING sum(pos) > 0 AND sum(neg) > 0)"""
 
 
-def _models(spark, sf):
+def _models(spark, sf, resamples=0):
+    """Scores of three models; with weights of the events, made once for all three, if there are resamples."""
+    e, kept = table(spark, sf, "events"), ["weights"] * bool(resamples)
+    e = E.with_weights(e, "event_id", resamples) if resamples else e
     v = [F.col("value"), F.col("value") + (F.col("event_id") % 7) * 20, F.col("value") - (F.col("event_id") % 3) * 50]
     each = F.explode(F.array(*[F.struct(F.lit(f"m{i + 1}").alias("model"), x.cast("double").alias("p")) for i, x in enumerate(v)]))
-    return table(spark, sf, "events").select("event_id", "user_id", (F.col("event_type") == "error").alias("y"), each.alias("s")).select("event_id", "user_id", "y", "s.*")
+    return e.select("event_id", "user_id", (F.col("event_type") == "error").alias("y"), *kept, each.alias("s")).select("event_id", "user_id", "y", *kept, "s.*")
 
 
 _LONG = f"s AS (SELECT event_id, event_type = 'error' AS y, {_MODELS} FROM events)"
@@ -45,7 +48,7 @@ def bootstrap_auroc(spark, sf):
 q AS (SELECT x.model AS a, z.model AS b, quantile_cont(x.auroc - z.auroc, 0.025) AS low, quantile_cont(x.auroc - z.auroc, 0.975) AS high FROM v x JOIN v z ON x.resample = z.resample AND x.model < z.model GROUP BY ALL)
 SELECT a, b, round(wa.auroc - wb.auroc, 6) AS diff, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS differs FROM q JOIN w wa ON wa.model = a JOIN w wb ON wb.model = b""")
 def paired_bootstrap(spark, sf):
-    out = E.paired_bootstrap(_models(spark, sf).drop("user_id"), "model", "event_id", 20)
+    out = E.paired_bootstrap(_models(spark, sf, 20).drop("user_id"), "model", "event_id", 20)
     return out.select("a", "b", *[r6(c).alias(c) for c in ("diff", "low", "high")], "differs")
 
 
