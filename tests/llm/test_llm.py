@@ -241,6 +241,34 @@ def test_suffix_dedup_splits_a_hot_hash(docs, monkeypatch):
     assert sorted(((r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in out), key=str) == sorted(want, key=str)
 
 
+def test_near_dup_leaves_the_largest_component_of_mixed_buckets(docs, monkeypatch):
+    """Of buckets of several components only the others' rows are looked up, and the result is that of the pairs."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    counts, rows_of = {}, near_dup.written
+
+    def counted(df, name, *more):
+        made = rows_of(df, name, *more)
+        if name in ("nd-mixed", "nd-several"):
+            counts[name] = made.count() if name == "nd-mixed" else made.agg(F.sum("size")).first()[0]
+        return made
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    rng = random.Random(23)
+    base = text(80, rng).split()
+    rows = [(i, " ".join(base[:k] + [f"q{i}"] + base[k + 1 :])) for i in range(60) for k in [rng.randrange(80)]]
+    rows += [(100 + i, " ".join(base[: 60 - i] + [f"r{i}{k}" for k in range(20)])) for i in range(4)]
+    out = near_dup.near_duplicates(docs(rows), size=1).collect()
+    sets = {i: set(t.split()) for i, t in rows}
+    comp = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert {r["doc_id"]: r["component_id"] for r in out} == comp
+    assert counts["nd-mixed"] < counts["nd-several"] / 2
+
+
 @pytest.mark.parametrize("small", [16, 2])
 def test_near_dup_by_brute_force(docs, monkeypatch, small):
     monkeypatch.setattr(near_dup, "SMALL", small)

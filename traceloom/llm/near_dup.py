@@ -162,19 +162,27 @@ def block_links(sets: list[np.ndarray], labels: list[int], left: np.ndarray, rig
     return out
 
 
-def _merged(large: DataFrame) -> DataFrame:
-    """Rows (key, c, label, size, most, main) of large buckets, those of one largest component made one bucket where that compares less.
+def _rows_of_mixed(held: DataFrame, mixed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, c, label, size, most, main) of the small and of the large ones of these mixed buckets (key, size, most, main).
 
-    Members of a group share many buckets, in each of which the same unlinked ones would be held against the same
-    others. A merged bucket holds a superset of the pairs of its buckets, so no candidate goes unexamined.
+    Large buckets of one largest component are made one where that compares less. Members of a group share many buckets,
+    in each of which the same unlinked ones would be held against the same others. A merged bucket has all classes of its
+    largest component, by labels (c, label), and the others of its buckets, so it holds a superset of their pairs and no
+    candidate goes unexamined; and of its buckets only the others' rows are looked up.
     """
     many, rest = F.col("most"), F.col("size") - F.col("most")
-    apart = large.select("key", "size", "most", "main").distinct().groupBy("main").agg(F.sum((rest * (rest + many)).cast("double")).alias("apart"))
-    members = written(large.select("main", "c", "label").distinct(), "nd-members")
-    sizes = members.groupBy("main").agg(F.count("*").alias("size"), F.count_if(F.col("label") == F.col("main")).alias("most"))
-    better = written(sizes.join(apart, "main").where((rest * F.col("size")).cast("double") <= F.col("apart")).select("main", "size", "most"), "nd-merged")
+    large = mixed.where(F.col("size") > SMALL)
+    apart = large.groupBy("main").agg(F.sum((rest * (rest + many)).cast("double")).alias("apart"))
+    beside = held.select("key", "c", "label").join(large.select("key", "main"), "key").where(F.col("label") != F.col("main"))
+    beside = written(beside.select("main", "c", "label").distinct(), "nd-beside")
+    mains = labels.groupBy(F.col("label").alias("main")).agg(F.count("*").alias("most"))
+    sizes = beside.groupBy("main").agg(F.count("*").alias("others")).join(mains, "main").withColumn("size", F.col("others") + F.col("most"))
+    better = written(sizes.join(apart, "main").where((F.col("others") * F.col("size")).cast("double") <= F.col("apart")).select("main", "size", "most"), "nd-merged")
+    members = beside.unionByName(labels.select(F.col("label").alias("main"), "c", "label"))
     one = members.join(better, "main").select(F.xxhash64(F.lit("merged"), "main").alias("key"), "c", "label", "size", "most", "main")
-    return large.join(better.select("main"), "main", "left_anti").select(*one.columns).unionByName(one)
+    alone = large.join(better.select("main"), "main", "left_anti").select(*mixed.columns).unionByName(mixed.where(F.col("size") <= SMALL))
+    rows = written(held.select("key", "c", "n", "label").join(alone, "key"), "nd-mixed")
+    return rows.where(F.col("size") <= SMALL), rows.where(F.col("size") > SMALL).select(*one.columns).unionByName(one)
 
 
 def _linked_in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -347,20 +355,23 @@ def _components(docs: DataFrame, size: int, percent: int, mark: tuple[str, ...]
     for turn in range(ROUNDS + 1):
         held = buckets
         if label is not None:  # only buckets of several components
-            held = buckets.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+            labels = written(buckets.select("c").distinct().join(label, "c", "left").withColumn("label", F.coalesce("label", "c")), "nd-labels")
+            held = held.join(labels, "c")
             parts = held.groupBy("key", "label").agg(F.count("*").alias("most"))
-            mixed = parts.groupBy("key").agg(F.max(F.struct("most", "label")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
-            held = written(held.join(mixed.select("key", "x.most", F.col("x.label").alias("main")), "key"), "nd-mixed")
-            if held.isEmpty():
+            mixed = parts.groupBy("key").agg(F.sum("most").alias("size"), F.max(F.struct("most", "label")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
+            mixed = written(mixed.select("key", "size", "x.most", F.col("x.label").alias("main")), "nd-several")
+            if mixed.isEmpty():
                 break
         else:
             held = held.withColumn("label", F.col("c"))
         if turn < ROUNDS:
+            if label is not None:
+                held = held.join(mixed.select("key"), "key", "left_semi")
             centre = F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("o"), F.col("c"), F.col("n"), F.col("label")))
             centres = held.groupBy("key").agg(centre.alias("x")).select("key", F.col("x.c").alias("a"), F.col("x.n").alias("m"), F.col("x.label").alias("other"))
             pairs = held.join(centres, "key").where(F.col("label") != F.col("other"))
         else:
-            few = held.where(F.col("size") <= SMALL)
+            few, large = _rows_of_mixed(held, mixed, labels)
             other = few.select("key", F.col("c").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))
             pairs = few.join(other, "key").where(F.col("label") < F.col("other"))
         pairs = pairs.where(_close(percent)).select("a", F.col("c").alias("b")).distinct()
@@ -369,7 +380,7 @@ def _components(docs: DataFrame, size: int, percent: int, mark: tuple[str, ...]
         pairs = written(pairs, "nd-pairs")
         found = _confirmed(pairs, sets, percent)
         if turn == ROUNDS:
-            found = found.unionByName(_linked_in_blocks(_merged(held.where(F.col("size") > SMALL)), sets, percent))
+            found = found.unionByName(_linked_in_blocks(large, sets, percent))
         found = written(found, "nd-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(found, label)
