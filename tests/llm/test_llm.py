@@ -49,6 +49,21 @@ def test_memoised_encoder_equals_the_tokenizer():
         assert list(encoder.encode(t)) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_new_pieces_go_to_the_tokenizer_some_at_a_time():
+    encoder, sizes = token_output.WordEncoder(tokenizer_path()), []
+    given = encoder.tokenizer
+    words = [f"pé{a}{b}{m}" for a in "abcdefghij" for b in "klmnopqrst" for m in ("", ",", "|", "~", "|~", "'s")] + [f"p{a}{b}x" for a in "abcdefghij" for b in "klmnopqrst"]
+
+    class Seen:
+        def encode_batch_fast(self, texts, **more):
+            sizes.extend(len(x.split()) for x in texts)
+            return given.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Seen()
+    assert list(encoder.encode(" ".join(words))) == given.encode(" ".join(words), add_special_tokens=False).ids
+    assert max(sizes) <= 2 * token_output.TOGETHER
+
+
 def test_every_letter_equals_the_tokenizer():
     """Each letter alone, before closing marks, after others and with an apostrophe; those that normalise to marks too."""
     encoder = token_output.WordEncoder(tokenizer_path())

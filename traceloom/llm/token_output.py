@@ -35,6 +35,10 @@ BLOCK_IDS = 1 << 16
 #: Pieces that an encoder holds at most (about 40 bytes each), and the bytes of the longest.
 HELD_PIECES = 1 << 19
 LONG = 128
+#: New pieces that the tokenizer gets in one text: longer texts cost it more a piece.
+TOGETHER = 64
+#: Marks that may part pieces that aren't plain: the first that the tokenizer knows as one token of its own.
+PARTING = "|~^`"
 #: Bytes of text that are encoded in one step; the arrays of a step take about 40 times as much.
 STEP_BYTES = 1 << 19
 #: What the pre-tokeniser takes a byte for; ODD: not told by the byte alone.
@@ -59,13 +63,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             widest[:-more] = np.maximum(widest[:-more], widest[more:])
             widest[-more:], have = 255, have + more
         choice[widest[:n] <= WIDTHS[selector]] = selector
-    at = np.arange(n, dtype=np.int32)
-    step = (at + COUNTS[choice].astype(np.int32)).tolist()
-    firsts, i = [], 0
+    # the value after a word that begins at each place, after 2 words, 4, ..; the walk takes the longest steps, which are then filled in
+    jumps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + COUNTS[choice].astype(np.int32), n), np.int32(n))]
+    for _ in range(6):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, i = [], 0
     while i < n:
-        firsts.append(i)
-        i = step[i]
-    first = np.array(firsts, np.int64)
+        far.append(i)
+        i = int(jumps[-1][i])
+    first = np.array(far, np.int32)
+    for jump in jumps[-2::-1]:
+        first = np.stack([first, jump[first]], axis=1).ravel()
+    first = first[first < n].astype(np.int64)
     chosen = choice[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):
@@ -136,7 +145,8 @@ class WordEncoder:
     Chunks are what space, tab, newline and carriage return part. Plain chunks (ASCII, without apostrophes, control
     characters or what begins an added token) are cut as the pre-tokeniser cuts them: letters, single digits, runs of marks.
     Every other chunk is a piece as it stands. Pieces are found in a table by two 64-bit hashes of their bytes; new ones
-    go to the tokenizer, plain ones together (each ends with a token that ends a word), others parted by an added token.
+    go to the tokenizer, TOGETHER at a time: plain ones as words (each ends with a token that ends a word), others parted by a
+    lone mark; those that hold the mark, or what begins an added token, alone.
     The table holds at most `most` pieces and starts afresh when full. Pieces of over LONG bytes are never held.
     """
 
@@ -150,7 +160,7 @@ class WordEncoder:
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         added = {i: x.content for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.begins = sorted({x[:2].encode() for x in added.values()})
-        self.parting = next(iter(added.items()), None)
+        self.parting = next(((int(ids[0]), m) for m in PARTING if len(ids := self._alone(m)) == 1 and self.closes[ids[0]]), None)
         self._clear()
 
     def _clear(self) -> None:
@@ -168,15 +178,12 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if plain or self.parting:
             mark = " " if plain else f" {self.parting[1]} "
-            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-            if plain:
-                ends = np.flatnonzero(self.closes[ids]) + 1
-                if len(ends) == len(pieces) and ends[-1] == len(ids):
-                    return ids, np.diff(ends, prepend=0)
-            else:
-                cuts = np.flatnonzero(ids == self.parting[0])
-                if len(cuts) == len(pieces) - 1:
-                    return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            some = [mark.join([*pieces[k : k + TOGETHER], ""]) for k in range(0, len(pieces), TOGETHER)]
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+            last = self.closes[ids] if plain else ids == self.parting[0]
+            ends = np.flatnonzero(last) + 1
+            if len(ends) == len(pieces) and ends[-1] == len(ids):
+                return (ids, np.diff(ends, prepend=0)) if plain else (ids[~last], np.diff(ends, prepend=0) - 1)
         each = [self._alone(x) for x in pieces]
         return np.concatenate(each), np.array([len(x) for x in each])
 
@@ -248,8 +255,8 @@ class WordEncoder:
         new = np.concatenate([new[plain[new]], new[~plain[new]]])[: self.most]
         for of in (new[plain[new]], new[~plain[new]]):
             text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]
-            begins = [] if len(of) and plain[of[0]] else [x.decode() for x in self.begins]
-            apart = [k for k, x in enumerate(text) if any(b in x for b in begins)] if begins else []  # may hold the parting token
+            begins = [] if len(of) and plain[of[0]] else [x.decode() for x in self.begins] + ([self.parting[1]] if self.parting else [])
+            apart = [k for k, x in enumerate(text) if any(b in x for b in begins)] if begins else []
             if apart:
                 each = [self._alone(text[k]) for k in apart]
                 self._hold(keys[:, of[apart]], np.concatenate(each), np.array([len(x) for x in each]))
