@@ -256,6 +256,22 @@ def test_suffix_dedup_splits_a_hot_hash(docs, monkeypatch):
     assert sorted(((r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in out), key=str) == sorted(want, key=str)
 
 
+def test_strings_of_a_hot_hash_come_back_as_stretches(docs, monkeypatch):
+    """A passage of a hot hash in documents of many slices: one row for each stretch, none for each string."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 200)
+    found, made = [], suffix_dedup._hot_out
+    monkeypatch.setattr(suffix_dedup, "_hot_out", lambda *a: found.append(made(*a)) or found[-1])
+    rng = random.Random(17)
+    passage = text(14, rng)
+    rows = [(i, text(12, rng) + passage + text(12, rng)) for i in range(60)]
+    out = {r["doc_id"]: r for r in suffix_dedup.deduplicated(docs(rows)).collect()}
+    assert out[0]["n_removed"] == 0 and all(r["n_removed"] >= len(passage) for i, r in out.items() if i)
+    spans = found[0].collect()
+    assert spans and max(r["n"] for r in spans) > 8
+    assert len(spans) < sum(r["n"] for r in spans) / 3
+
+
 def test_near_dup_leaves_the_largest_component_of_mixed_buckets(docs, monkeypatch):
     """Of buckets of several components only the others' rows are looked up, and the result is that of the pairs."""
     monkeypatch.setattr(near_dup, "SMALL", 2)

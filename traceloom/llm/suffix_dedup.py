@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, eight_bytes, in_arrow, mix64, slices, span_hashes, written
@@ -192,15 +193,17 @@ def _among(key: np.ndarray, owner: np.ndarray, lists: list[list[bytes]], mark: n
     return keep
 
 
-def _hot_out(docs: DataFrame, length: int) -> DataFrame:
+def _hot_out(docs: DataFrame, ranges: int, length: int) -> DataFrame:
     """(doc, mark, start, n): stretches of starts of HOT hashes whose strings are to go.
 
     Of equal strings in a slice the least document's goes on, once, the others are found already. So a string comes once
-    a slice to where it meets its equals.
+    a slice to where it meets its equals: in one of `ranges` blocks of each slice, by its hash. Those that are to go return
+    in blocks to their slice, where neighbouring starts become stretches again; no row is made for a single string.
     """
+    names = ["part", "slice", "strings", "docs", "marks", "times", "starts", "counts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch, most=2 * SLICE_BYTES)):
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in enumerate(x for batch in batches for x in slices(batch, most=2 * SLICE_BYTES)):
             data, starts = _joined(part.column(2).to_pylist())
             key, at, count, owner = pieces(data, starts, length)
             if not len(key):
@@ -223,24 +226,68 @@ def _hot_out(docs: DataFrame, length: int) -> DataFrame:
                 strings = np.lib.stride_tricks.sliding_window_view(data, length)
                 other[some] = (strings[at[some]] != strings[at[lead[some]]]).any(axis=1)
             sent = other | (doc == doc[lead])
-            go = np.flatnonzero(sent)
-            edge = np.flatnonzero(np.append(True, (whole[go][1:] != whole[go][:-1]) | (owner[go][1:] != owner[go][:-1]) | other[go][1:] | other[go][:-1]))
-            names = [data[x : x + length].tobytes() for x in at[go[edge]].tolist()]
-            where = np.split(at[go] - begin[go], edge[1:])
-            rest = np.flatnonzero(~sent)
-            rest = rest[np.argsort(at[rest])]
-            first = np.flatnonzero(np.append(True, (np.diff(at[rest]) != 1) | (np.diff(owner[rest]) != 0))) if len(rest) else rest
-            spans, n = rest[first], np.diff(np.append(first, len(rest)))
-            apart = [np.array(x, np.int64).tobytes() for x in zip(doc[spans].tolist(), at[spans].tolist(), strict=True)]  # no string is so short
-            lead_n = len(edge)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names + apart, pa.binary()), pa.array(np.append(doc[go[edge]], doc[spans])), pa.array(marks[np.append(owner[go[edge]], owner[spans])]),
-                pa.array([*where, *(at[spans] - begin[spans])[:, None]], pa.list_(pa.int64())), pa.array(np.append(np.ones(lead_n, np.int64), n)), pa.array(np.arange(lead_n + len(spans)) >= lead_n),
-            ], ["string", "doc", "mark", "starts", "n", "found"])
+            go, rest = np.flatnonzero(sent), np.flatnonzero(~sent)
+            go = go[np.argsort(whole[go] % np.uint64(ranges), kind="stable")]
+            edge = np.flatnonzero(np.append(True, (whole[go][1:] != whole[go][:-1]) | (owner[go][1:] != owner[go][:-1]) | other[go][1:] | other[go][:-1])) if len(go) else go
+            first, times = go[edge], np.diff(np.append(edge, len(go)))
+            own, begins = (whole[first] % np.uint64(ranges)).astype(np.int64), at[go] - begin[go]
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            every, rows = np.lib.stride_tricks.sliding_window_view(data, length), []
+            here = (TaskContext.get().partitionId() << 32) + number
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(first)), strict=True) if len(first) else ():
+                x, y = edge[a], edge[b] if b < len(edge) else len(go)
+                rows.append((int(own[a]), here, every[at[first[a:b]]].tobytes(), _planes(doc[first[a:b]]), _planes(marks[owner[first[a:b]]]), _planes(times[a:b].astype(np.int32)), _planes(begins[x:y].astype(np.int32)), None))
+            if len(rest):
+                rest = rest[np.argsort(at[rest])]
+                lone = np.flatnonzero(np.append(True, (np.diff(at[rest]) != 1) | (np.diff(owner[rest]) != 0)))
+                spans, n = rest[lone], np.diff(np.append(lone, len(rest)))
+                rows.append((number % ranges, here, None, _planes(doc[spans]), _planes(marks[owner[spans]]), None, _planes((at[spans] - begin[spans]).astype(np.int32)), _planes(n.astype(np.int32))))
+            yield _blocks(rows, names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in _grouped(batches):
+            sent, out = [r for r in rows if r[1].is_valid], []
+            for r in rows:
+                if not r[1].is_valid:
+                    out.append((at, r[0].as_py(), None, *(r[i].as_py() for i in (2, 3)), None, *(r[i].as_py() for i in (5, 6))))
+            if sent:
+                docs_, marks, times, starts = (np.concatenate([_from_planes(r[i].as_buffer(), kind) for r in sent]) for i, kind in ((2, "<i8"), (3, "<i8"), (4, "<i4"), (5, "<i4")))
+                raw = np.concatenate([np.frombuffer(r[1].as_buffer(), np.uint8) for r in sent]).reshape(-1, length)
+                words = np.zeros((len(raw), -(-length // 8) * 8), np.uint8)
+                words[:, :length] = raw
+                words = words.view(np.uint64)
+                order = np.lexsort((docs_, *words.T))
+                head = np.append(True, (words[order[1:]] != words[order[:-1]]).any(axis=1))
+                again = np.zeros(len(order), bool)
+                again[order] = docs_[order] > docs_[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
+                of = np.repeat(np.arange(len(sent)), [len(r[1].as_buffer()) // length for r in sent])
+                hit, until = np.repeat(again, times), np.cumsum(times)
+                for k, r in enumerate(sent):
+                    a, b = np.searchsorted(of, (k, k + 1))
+                    if again[a:b].any():
+                        each, x, y = np.repeat(np.arange(a, b), times[a:b]), until[a] - times[a], until[b - 1]
+                        each, some = each[hit[x:y]], starts[x:y][hit[x:y]]
+                        out.append((at, r[0].as_py(), None, _planes(docs_[each]), _planes(marks[each]), None, _planes(some), _planes(np.ones(len(some), np.int32))))
+            if out:
+                yield _blocks(out, names)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            doc, mark, start, n = (np.concatenate([_from_planes(r[i].as_buffer(), kind) for r in rows]).astype(np.int64) for i, kind in ((0, "<i8"), (1, "<i8"), (2, "<i4"), (3, "<i4")))
+            order = np.lexsort((start, mark, doc))
+            doc, mark, start, n = doc[order], mark[order], start[order], n[order]
+            first = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(mark) != 0) | (start[1:] != start[:-1] + n[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], mark[first], start[first], np.add.reduceat(n, first))], ["doc", "mark", "start", "n"])
+
+    blocks = "part int, slice long, strings binary, docs binary, marks binary, times binary, starts binary, counts binary"
+    met = docs.transform(in_arrow, strings, blocks).repartition("part").sortWithinPartitions("part").transform(in_arrow, meet, blocks)
+    back = met.select("slice", "docs", "marks", "starts", "counts").repartition("slice").sortWithinPartitions("slice")
+    return back.transform(in_arrow, stretches, "doc long, mark long, start long, n long")
+
 
-    strings = docs.transform(in_arrow, run, "string binary, doc long, mark long, starts array<long>, n long, found boolean")
-    least = F.min("doc").over(Window.partitionBy("string"))
-    return strings.withColumn("least", least).where(F.col("found") | (F.col("doc") > F.col("least"))).select("doc", "mark", F.explode("starts").alias("start"), "n")
+def _blocks(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
 FOUND = "shard int, docs binary, marks binary, starts binary, counts binary, data binary"
@@ -394,7 +441,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True)
     told = base.join(copies.hint("merge"), "mark", "left").select(*base.columns, F.coalesce(F.array_contains("copies", F.col("doc")), F.lit(False)).alias("copy"))
     shared = _shared(_hashes(told.where("NOT copy").select("mark", "text", "doc", "nameless"), int(ranges), length)).groupBy("mark").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
     some = told.join(shared, "mark").where("NOT copy").select("doc", "mark", "text", "keys", "hot", "nameless")
-    gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length).unionByName(_hot_out(some.where("hot"), length))
+    gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length).unionByName(_hot_out(some.where("hot"), int(ranges), length))
     spans = gone.groupBy("mark").agg(F.collect_list(F.struct("doc", "start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
