@@ -148,3 +148,17 @@ def test_temperatures_against_a_grid(spark):
         assert got[g]["at_bound"] == (not 0.06 < t < 19.9)
     assert got["right"]["at_bound"] and got["against"]["temperature"] == pytest.approx(20)
     assert E.fit_temperature(spark.createDataFrame([], "p double, y boolean"), []).count() == 0
+
+
+def test_events_without_a_type_have_no_label(spark, tmp_path):
+    """The temperature and its errors of calibration as the SQL has them, where some held-out events have no type."""
+    import duckdb
+
+    from traceloom.plans import catalogue_finetune as C
+    from traceloom.plans.catalogue import SQL
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events AS SELECT * REPLACE (CASE WHEN event_id % 10 = 3 THEN NULL ELSE event_type END AS event_type) FROM '/root/testdata/sf0.01/events.parquet'")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = [tuple(r) for r in C.finetune_calibration(spark, str(tmp_path)).collect()]
+    assert got == con.sql(SQL["finetune_calibration"]).fetchall()

@@ -46,9 +46,9 @@ _OPTIONS = finetune.Options(heldout=0.4, base_rates=(0.05, 0.1), sample_rates=(0
 
 
 def _labelled(spark, sf):
-    """Events as labelled traces: a user is a question, an error is wrong."""
+    """Events as labelled traces: a user is a question, an error is wrong; without a type there is no label."""
     e = table(spark, sf, "events")
-    return e.select(F.col("event_id").cast("string").alias("trace_id"), F.col("user_id").alias("qid"), F.col("user_id").alias("question_key"), F.lit(None).cast("string").alias("split"), F.when(F.col("event_type") == "error", "wrong").otherwise("correct").alias("label"), "event_id", "event_type", "value", (F.col("event_id") % 7).cast("double").alias("seven"), (-F.col("value")).alias("less"))
+    return e.select(F.col("event_id").cast("string").alias("trace_id"), F.col("user_id").alias("qid"), F.col("user_id").alias("question_key"), F.lit(None).cast("string").alias("split"), F.when(F.col("event_type") == "error", "wrong").when(F.col("event_type").isNotNull(), "correct").alias("label"), "event_id", "event_type", "value", (F.col("event_id") % 7).cast("double").alias("seven"), (-F.col("value")).alias("less"))
 
 
 def _served(model: str, base: float, slope: float, more: float) -> finetune.Scorer:
