@@ -272,6 +272,34 @@ def test_strings_of_a_hot_hash_come_back_as_stretches(docs, monkeypatch):
     assert len(spans) < sum(r["n"] for r in spans) / 3
 
 
+def test_shared_hashes_return_in_rows_of_slices_not_of_documents(docs, monkeypatch):
+    """Whatever the number of ranges: a range makes no row for each document, and in the end each document has one, with just its hashes."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2000)
+    rng = random.Random(19)
+    passages = [text(14, rng) for _ in range(4)]
+    rows = [(i, text(6, rng) + passages[i % 4 if i % 3 else 0] + text(6, rng)) for i in range(120)] + [(200, text(30, rng))]
+    own, weight, holders = {}, {}, {}
+    for i, t in rows:
+        key, _, count, _ = suffix_dedup.pieces(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 50)
+        own[i] = set(key.tolist())
+        for k in own[i]:
+            holders[k] = holders.get(k, 0) + 1
+            size = max(128, int((count[key == k] + 49).sum()))
+            weight[k] = weight.get(k, 0) + 2 ** (size - 1).bit_length()
+    base = docs(rows).coalesce(2).selectExpr("doc_id AS mark", "text")
+    hashes = suffix_dedup._hashes(base, 64, 50)
+    blocks = suffix_dedup._shared(hashes)
+    assert blocks.count() <= hashes.count() <= 2 * 64
+    lists = suffix_dedup._lists(blocks).collect()
+    assert len(lists) == len({r["mark"] for r in lists}) <= len(rows)
+    got = {r["mark"]: tuple(set(suffix_dedup._wide(bytes(r[c] or b"")).tolist()) for c in ("keys", "hot")) for r in lists}
+    for i, keys in own.items():
+        several = {k for k in keys if holders[k] > 1}
+        large = {k for k in several if weight[k] > 2000}
+        assert got.get(i, (set(), set())) == (several - large, large)
+    assert any(hot for _, hot in got.values()) and any(keys for keys, _ in got.values())
+
+
 def test_near_dup_leaves_the_largest_component_of_mixed_buckets(docs, monkeypatch):
     """Of buckets of several components only the others' rows are looked up, and the result is that of the pairs."""
     monkeypatch.setattr(near_dup, "SMALL", 2)

@@ -2,7 +2,8 @@
 
 A string belongs to the least hash of its GRAM-byte runs, so equal strings meet wherever that hash is dealt. A stretch of
 starts with one least hash is a piece. A text that a smaller document has too goes whole and takes no part. First only the
-hashes travel: a piece goes on if another document has its hash. Pieces of a hash range are a shard, whose suffixes are
+hashes travel, in blocks of a slice of documents and a range of hashes, and those that another document has return in such
+blocks to their slice: a piece goes on if its hash does. Pieces of a hash range are a shard, whose suffixes are
 sorted by external induction (see induced); neighbours in that order with a common prefix of LENGTH bytes, compared byte for
 byte, are one string, and its least document is known. Equal pieces (by 64 bits and their length) within one slice of
 documents are sent once, from the least document: a passage that a third of all documents share costs a shard one piece a
@@ -33,8 +34,6 @@ CHUNK = 1 << 16
 RANGE_BYTES, SHARD_BYTES = 48 << 20, 3 << 20
 #: A hash whose pieces have more bytes in all is split into strings, so that it can't overfill its shard.
 HOT_BYTES = 1 << 19
-#: Marks such a hash; hashes have HASH_BITS.
-HOT = np.uint64(1 << 63)
 #: Bits of a hash that travel: more only spare pieces that prove single.
 HASH_BITS = 48
 
@@ -87,29 +86,35 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def _hashes(docs: DataFrame, ranges: int, length: int) -> DataFrame:
-    """Of each slice and range of hashes: marks of the documents that have some, and blobs of owners (places in marks), keys and weights, the binary log of the bytes of a key's pieces, 7 at least."""
+    """Of each slice of documents and range of hashes: marks of the documents that have some, and blobs of how many each has, of the keys, document by document, and of weights, the binary log of the bytes of a key's pieces, 7 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # of docs (mark, text, ..)
-        for part in (x for batch in batches for x in slices(batch)):
+        lower = _bounds(ranges)
+        for number, part in enumerate(x for batch in batches for x in slices(batch)):
             data, starts = _joined(part.column(1).to_pylist())
             key, _, count, owner = pieces(data, starts, length)
             if not len(key):
                 continue
-            order = np.lexsort((owner, key))
+            order = np.lexsort((key, owner))
             key, owner, size = key[order], owner[order], count[order] + length - 1
             first = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
             weight = np.ceil(np.log2(np.maximum(np.add.reduceat(size, np.flatnonzero(first)), 128))).astype(np.uint8)
-            key, owner = key[first], owner[first].astype(np.uint32)
-            cuts = np.searchsorted(key, _bounds(ranges))
-            rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(key)), strict=True)) if b > a]
-            own = [np.unique(owner[a:b], return_inverse=True) for _, a, b in rows]
+            key, owner = key[first], owner[first]
+            dealt = np.searchsorted(lower, key, side="right") - 1
+            order = np.argsort(dealt, kind="stable")
+            key, owner, weight, dealt = key[order], owner[order], weight[order], dealt[order]
+            cuts = np.flatnonzero(np.append(True, np.diff(dealt) != 0))
+            head = np.flatnonzero(np.append(True, (np.diff(dealt) != 0) | (np.diff(owner) != 0)))
+            times, at = np.diff(np.append(head, len(key))).astype("<u4"), np.append(np.searchsorted(head, cuts), len(head))
+            rows, own = list(zip(cuts, np.append(cuts[1:], len(key)), strict=True)), list(zip(at[:-1], at[1:], strict=True))
+            here = (TaskContext.get().partitionId() << 32) + number
             yield pa.RecordBatch.from_arrays([
-                pa.array([r for r, _, _ in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x, _ in own)]), pa.int32()), part.column(0).take(pa.array(np.concatenate([x for x, _ in own])))),
-                pa.array([_planes(x.astype("<u4")) for _, x in own], pa.binary()), pa.array([_narrow(key[a:b]) for _, a, b in rows], pa.binary()),
-                pa.array([weight[a:b].tobytes() for _, a, b in rows], pa.binary()),
-            ], ["range", "marks", "owners", "keys", "weights"])
+                pa.array(dealt[cuts], pa.int32()), pa.array([here] * len(rows), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(at, pa.int32()), part.column(0).take(pa.array(owner[head]))), pa.array([_planes(times[a:b]) for a, b in own], pa.binary()),
+                pa.array([_narrow(key[a:b]) for a, b in rows], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in rows], pa.binary()),
+            ], ["range", "slice", "marks", "counts", "keys", "weights"])
 
-    return docs.transform(in_arrow, run, "range int, marks array<long>, owners binary, keys binary, weights binary")
+    return docs.transform(in_arrow, run, "range int, slice long, marks array<long>, counts binary, keys binary, weights binary")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -144,12 +149,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def _shared(hashes: DataFrame) -> DataFrame:
-    """(mark, keys, hot): hashes of a document that another one has too, and whether one has HOT, as its pieces have over HOT_BYTES."""
+    """(slice, marks, counts, keys, hot): of hashes those that another document has too, a row at most for each row; hot has a bit for each key, set if its pieces have over HOT_BYTES."""
     most = HOT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            keys = [_wide(k.as_buffer()) for _, _, k, _ in rows]
+            keys = [_wide(k.as_buffer()) for *_, k, _ in rows]
             every = np.concatenate(keys)
             weight = np.concatenate([np.frombuffer(w.as_buffer(), np.uint8) for *_, w in rows])
             order = np.argsort(every)
@@ -157,22 +162,44 @@ def _shared(hashes: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
             several = np.diff(np.append(edge, len(every))) > 1
             shared, large = every[edge][several], (np.add.reduceat(np.exp2(weight, dtype=np.float64), edge) > most)[several]
-            for (marks, owners, _, _), key in zip(rows, keys, strict=True):
+            for (number, marks, counts, *_), key in zip(rows, keys, strict=True):
                 if not len(shared):
                     break
                 place = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
                 hit = shared[place] == key
                 if not hit.any():
                     continue
-                key, owner = key[hit] | np.where(large[place[hit]], HOT, np.uint64(0)), _from_planes(owners.as_buffer(), "<u4")[hit]
-                order = np.argsort(owner, kind="stable")
-                key, owner = key[order], owner[order]
-                edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                hot = np.logical_or.reduceat(key >= HOT, edge)
-                yield pa.RecordBatch.from_arrays([marks.values.take(pa.array(owner[edge])), pa.array([x.tobytes() for x in np.split(key, edge[1:])], pa.binary()), pa.array(hot)], ["mark", "keys", "hot"])
+                until = np.cumsum(_from_planes(counts.as_buffer(), "<u4"), dtype=np.int64)
+                times = np.add.reduceat(hit, np.append(0, until[:-1]), dtype=np.int64)  # each document has a key at least
+                own = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), marks.values.take(pa.array(own))),
+                    *(pa.array([x], pa.binary()) for x in (_planes(times[own].astype("<u4")), _narrow(key[hit]), np.packbits(large[place[hit]]).tobytes())),
+                ], ["slice", "marks", "counts", "keys", "hot"])
 
     dealt = hashes.repartition("range").sortWithinPartitions("range")
-    return dealt.transform(in_arrow, run, "mark long, keys binary, hot boolean")
+    return dealt.transform(in_arrow, run, "slice long, marks array<long>, counts binary, keys binary, hot binary")
+
+
+def _lists(shared: DataFrame) -> DataFrame:
+    """(mark, keys, hot): a row for each mark of a slice, of all ranges; hot are the hashes whose pieces have over HOT_BYTES, keys the others, null if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            mark, times = np.concatenate([m.values.to_numpy() for m, *_ in rows]), np.concatenate([_from_planes(c.as_buffer(), "<u4") for _, c, *_ in rows])
+            keys = [_wide(k.as_buffer()) for *_, k, _ in rows]
+            large = np.concatenate([np.unpackbits(np.frombuffer(h.as_buffer(), np.uint8), count=len(k)) for (*_, h), k in zip(rows, keys, strict=True)])
+            mark = np.repeat(mark, times)
+            order = np.lexsort((large, mark))
+            mark, large, raw, width = mark[order], large[order], _narrow(np.concatenate(keys)[order]), HASH_BITS // 8
+            head = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
+            until = np.append(head[1:], len(mark))
+            middle = until - np.add.reduceat(large, head, dtype=np.int64)
+            lists = ([raw[a * width : b * width] or None for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in ((head, middle), (middle, until)))
+            yield pa.RecordBatch.from_arrays([pa.array(mark[head]), *(pa.array(x, pa.binary()) for x in lists)], ["mark", "keys", "hot"])
+
+    dealt = shared.repartition("slice").sortWithinPartitions("slice")
+    return dealt.transform(in_arrow, run, "mark long, keys binary, hot binary")
 
 
 def _copies(base: DataFrame) -> DataFrame:
@@ -182,19 +209,19 @@ def _copies(base: DataFrame) -> DataFrame:
     return light.join(several, ["t1", "t2", "n"]).where("doc > least").groupBy("mark").agg(F.collect_set("doc").alias("copies"))
 
 
-def _among(key: np.ndarray, owner: np.ndarray, lists: list[list[bytes]], mark: np.uint64 = np.uint64(0)) -> np.ndarray:
-    """Whether each piece's hash is in its document's list, with this mark."""
+def _among(key: np.ndarray, owner: np.ndarray, lists: list[list[bytes]]) -> np.ndarray:
+    """Whether each piece's hash is in its document's list."""
     keep = np.zeros(len(key), bool)
     cuts = np.searchsorted(owner, np.arange(len(lists) + 1))
     for i, blobs in enumerate(lists):
         a, b = cuts[i], cuts[i + 1]
-        if b > a:
-            keep[a:b] = np.isin(key[a:b] | mark, np.frombuffer(b"".join(blobs), np.uint64))
+        if b > a and blobs:
+            keep[a:b] = np.isin(key[a:b], _wide(b"".join(blobs)))
     return keep
 
 
 def _hot_out(docs: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(doc, mark, start, n): stretches of starts of HOT hashes whose strings are to go.
+    """(doc, mark, start, n): stretches of starts of hot hashes whose strings are to go.
 
     Of equal strings in a slice the least document's goes on, once, the others are found already. So a string comes once
     a slice to where it meets its equals: in one of `ranges` blocks of each slice, by its hash. Those that are to go return
@@ -208,7 +235,7 @@ def _hot_out(docs: DataFrame, ranges: int, length: int) -> DataFrame:
             key, at, count, owner = pieces(data, starts, length)
             if not len(key):
                 continue
-            keep = _among(key, owner, part.column(3).to_pylist(), HOT)
+            keep = _among(key, owner, part.column(4).to_pylist())
             at, count, owner = at[keep], count[keep], owner[keep]
             if not len(at):
                 continue
@@ -439,9 +466,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_kept: bool = True)
     # joins are by mark alone and bring all of base, so that one shuffle of the texts serves them; documents that share a mark are told apart after
     copies = written(_copies(base), "suffix-copies")
     told = base.join(copies.hint("merge"), "mark", "left").select(*base.columns, F.coalesce(F.array_contains("copies", F.col("doc")), F.lit(False)).alias("copy"))
-    shared = _shared(_hashes(told.where("NOT copy").select("mark", "text", "doc", "nameless"), int(ranges), length)).groupBy("mark").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
+    lists = _lists(_shared(_hashes(told.where("NOT copy").select("mark", "text", "doc", "nameless"), int(ranges), length)))
+    shared = lists.groupBy("mark").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"))
     some = told.join(shared, "mark").where("NOT copy").select("doc", "mark", "text", "keys", "hot", "nameless")
-    gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length).unionByName(_hot_out(some.where("hot"), int(ranges), length))
+    gone = _sorted_out(_pieces_to_sort(some, int(shards), length), length).unionByName(_hot_out(some.where(F.size("hot") > 0), int(ranges), length))
     spans = gone.groupBy("mark").agg(F.collect_list(F.struct("doc", "start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
