@@ -300,6 +300,28 @@ def test_shared_hashes_return_in_rows_of_slices_not_of_documents(docs, monkeypat
     assert any(hot for _, hot in got.values()) and any(keys for keys, _ in got.values())
 
 
+@pytest.mark.parametrize("length", [24, 50, 51])
+def test_a_run_shared_amid_differing_text_proves_single(length, monkeypatch):
+    """Texts that share a run of GRAM bytes alone have no hash in common; a string has one hash wherever it stands."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    rng = random.Random(23)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    run, passage = letters(suffix_dedup.GRAM), letters(400)
+
+    def hashes(texts):
+        data, starts = suffix_dedup._joined(texts)
+        key, at, count, owner = suffix_dedup.pieces(data, starts, length)
+        assert count.sum() == sum(max(0, len(t) - length + 1) for t in texts) and (at + count + length - 1 <= starts[owner + 1]).all()
+        return key, np.repeat(key, count), [bytes(data[a + i : a + i + length]) for a, n in zip(at.tolist(), count.tolist(), strict=True) for i in range(n)], owner
+
+    key, _, _, owner = hashes([letters(60) + run + letters(60) for _ in range(50)])
+    assert len(np.unique(key)) == len(np.unique(np.stack([key, owner.astype(np.uint64)]), axis=1).T)
+    periodic = [(letters(p) * 60)[:n] for p, n in ((1, 900), (2, 400), (17, 300), (18, 300), (35, 300), (60, 300))]
+    _, each, strings, _ = hashes([letters(7 * i) + t + letters(5) for i, t in enumerate([passage, *periodic] * 3)] + [passage[100:300]])
+    assert len(set(zip(each.tolist(), strings, strict=True))) == len(set(strings))
+    assert len(hashes(["a" * 5000])[0]) <= 2
+
+
 def test_near_dup_leaves_the_largest_component_of_mixed_buckets(docs, monkeypatch):
     """Of buckets of several components only the others' rows are looked up, and the result is that of the pairs."""
     monkeypatch.setattr(near_dup, "SMALL", 2)

@@ -1,9 +1,12 @@
 """Suffix-array dedup: removes each byte covered by a string of LENGTH bytes that also starts in a document of smaller id.
 
-A string belongs to the least hash of its GRAM-byte runs, so equal strings meet wherever that hash is dealt. A stretch of
-starts with one least hash is a piece. A text that a smaller document has too goes whole and takes no part. First only the
+A string belongs to the first of its GRAM-byte runs with the least hash, and to the bytes beside that run, on the side where
+the string has more of them: half of what a string has besides a run. The hash of both is its key, so equal strings meet
+wherever their key, or the run's part of it, is dealt, and runs that many documents share amid differing text prove single.
+A stretch of starts with one key is a piece. A text that a smaller document has too goes whole and takes no part. First only the
 hashes travel, in blocks of a slice of documents and a range of hashes, and those that another document has return in such
-blocks to their slice: a piece goes on if its hash does. Pieces of a hash range are a shard, whose suffixes are
+blocks to their slice: a piece goes on if its hash does, together with its neighbour of the same run. Pieces of a run's hash
+are in one shard, whose suffixes are
 sorted by external induction (see induced); neighbours in that order with a common prefix of LENGTH bytes, compared byte for
 byte, are one string, and its least document is known. Equal pieces (by 64 bits and their length) within one slice of
 documents are sent once, from the least document: a passage that a third of all documents share costs a shard one piece a
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, eight_bytes, in_arrow, mix64, slices, span_hashes, written
+from .common import _LOW, SLICE_BYTES, eight_bytes, in_arrow, mix64, slices, span_hashes, written
 from .induced import place_type, suffix_order
 
 #: A gram is two numbers of eight bytes.
@@ -34,8 +37,12 @@ CHUNK = 1 << 16
 RANGE_BYTES, SHARD_BYTES = 48 << 20, 3 << 20
 #: A hash whose pieces have more bytes in all is split into strings, so that it can't overfill its shard.
 HOT_BYTES = 1 << 19
-#: Bits of a hash that travel: more only spare pieces that prove single.
-HASH_BITS = 48
+#: Bits of a hash that travel, and those of them that are of the bytes beside the run: more only spare pieces that prove single.
+HASH_BITS, BESIDE_BITS = 56, 24
+#: A run whose pieces, but for those of hashes split already, have more than this many times HOT_BYTES is split too.
+HOT_RUN = 4
+#: Places in a step.
+_PLACE = np.uint64((2 * CHUNK) - 1)
 
 
 def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +52,7 @@ def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, first start, number of starts, document of each piece: stretches of starts with one least hash, within a document."""
+    """hash, first start, number of starts, document of each piece: stretches of starts with one hash, within a document."""
     wide = length - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -54,7 +61,9 @@ def pieces(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     least = np.empty(m, np.uint64)
     for low in range(0, m, CHUNK):  # small steps, so that what a step needs stays in the processor's caches
         n = min(CHUNK, m - low) + wide - 1
-        part = mix64(mix64(eight[low : low + n] * _GRAM_FACTOR) ^ eight[low + 8 : low + 8 + n]) >> np.uint64(64 - HASH_BITS)
+        part = mix64(mix64(eight[low : low + n] * _GRAM_FACTOR) ^ eight[low + 8 : low + 8 + n])
+        part &= ~_PLACE
+        part |= np.arange(n, dtype=np.uint64)  # of equal hashes the first
         have = 1
         while have < wide:
             more = min(have, wide - have)
@@ -70,7 +79,21 @@ def pieces(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     at = np.arange(len(owner)) + np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts)
     value = least[at]
     edge = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]))
-    return value[edge], at[edge], np.diff(np.append(edge, len(at))), owner[edge]
+    value, at, count, owner = value[edge], at[edge], np.diff(np.append(edge, len(at))), owner[edge]
+    # strings that have more before the run, then those that have more after it
+    run, side = at // CHUNK * CHUNK + (value & _PLACE).astype(np.int64), (length - GRAM) // 2
+    before = np.clip(run - (length - GRAM - side) - at, 0, count)
+    both = np.stack([before, count - before], 1).ravel()
+    some = np.flatnonzero(both)
+    after, of = some & 1, some >> 1
+    at, count, owner = at[of] + after * before[of], both[some], owner[of]
+    beside = run[of] + np.where(after == 1, GRAM, -side)
+    key = after.astype(np.uint64)
+    for k in [*range(0, side - 8, 8), side - 8] if side >= 8 else [0]:
+        key = mix64((key * _GRAM_FACTOR) ^ (eight[beside + k] & _LOW[min(side, 8)]))
+    key = (value[of] >> np.uint64(64 + BESIDE_BITS - HASH_BITS) << np.uint64(BESIDE_BITS)) | (key >> np.uint64(64 - BESIDE_BITS))
+    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+    return key[edge], at[edge], np.add.reduceat(count, edge), owner[edge]
 
 
 def _narrow(keys: np.ndarray) -> bytes:
@@ -149,7 +172,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def _shared(hashes: DataFrame) -> DataFrame:
-    """(slice, marks, counts, keys, hot): of hashes those that another document has too, a row at most for each row; hot has a bit for each key, set if its pieces have over HOT_BYTES."""
+    """(slice, marks, counts, keys, hot): of hashes those that another document has too, a row at most for each row; hot has a bit for each key, set if its pieces have over HOT_BYTES or the others of its run over HOT_RUN times as many."""
     most = HOT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +184,11 @@ def _shared(hashes: DataFrame) -> DataFrame:
             every, weight = every[order], weight[order]
             edge = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
             several = np.diff(np.append(edge, len(every))) > 1
-            shared, large = every[edge][several], (np.add.reduceat(np.exp2(weight, dtype=np.float64), edge) > most)[several]
+            shared, size = every[edge][several], np.add.reduceat(np.exp2(weight, dtype=np.float64), edge)[several]
+            large, runs = size > most, np.flatnonzero(np.append(True, np.diff(shared >> np.uint64(BESIDE_BITS)) != 0)[: len(shared)])
+            if len(shared):
+                rest = np.add.reduceat(np.where(large, 0, size), runs)
+                large |= np.repeat(rest > HOT_RUN * most, np.diff(np.append(runs, len(shared))))
             for (number, marks, counts, *_), key in zip(rows, keys, strict=True):
                 if not len(shared):
                     break
@@ -182,7 +209,7 @@ def _shared(hashes: DataFrame) -> DataFrame:
 
 
 def _lists(shared: DataFrame) -> DataFrame:
-    """(mark, keys, hot): a row for each mark of a slice, of all ranges; hot are the hashes whose pieces have over HOT_BYTES, keys the others, null if there are none."""
+    """(mark, keys, hot): a row for each mark of a slice, of all ranges; hot are the hashes whose pieces are split, keys the others, null if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
@@ -330,9 +357,11 @@ def _pieces_to_sort(docs: DataFrame, shards: int, length: int) -> DataFrame:
             if not len(key):
                 continue
             keep = _among(key, owner, part.column(3).to_pylist())
-            key, at, count, owner = key[keep], at[keep], count[keep], owner[keep]
+            key, at, count, owner = key[keep] >> np.uint64(BESIDE_BITS), at[keep], count[keep], owner[keep]
             if not len(key):
                 continue
+            edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + count[:-1])))
+            key, at, count, owner = key[edge], at[edge], np.add.reduceat(count, edge), owner[edge]
             ids = np.array(part.column(0).to_pylist(), np.int64)
             marks = np.array(part.column(1).to_pylist(), np.int64)
             whole = span_hashes(data, at, at + count + length - 1)
